@@ -146,6 +146,18 @@ def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), count
 
 
+def invert(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with pivoting: small matrices, without a threaded library that other Python workers share cores with."""
+    n = len(matrix)
+    a = np.hstack((matrix, np.eye(n)))
+    for i in range(n):
+        k = i + int(np.abs(a[i:, i]).argmax())
+        a[[i, k]] = a[[k, i]]
+        a[i] /= a[i, i]
+        a -= np.outer(np.where(np.arange(n) == i, 0, a[:, i]), a[i])
+    return a[:, n:]
+
+
 def patterns(demand: dict[int, int], room: int, rounds: int = 4000, gap: float = 0.002) -> list[tuple[dict[int, int], int]]:
     """[(pieces of each size, how often)], sizes in units with a sum of at most room, that hold all of demand."""
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
@@ -153,23 +165,24 @@ def patterns(demand: dict[int, int], room: int, rounds: int = 4000, gap: float =
         return []
     need = np.array([demand[int(s)] for s in sizes], float)
     basis = np.diag(room // sizes).astype(float)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / np.diag(basis))
     for turn in range(1, rounds + 1):
-        if turn % 64 == 0:  # against the rounding errors of the updates
-            inverse = np.linalg.inv(basis)
+        if turn % 256 == 0:  # against the rounding errors of the updates
+            inverse = invert(basis)
         value, column = price(np.maximum(inverse.sum(axis=0), 0), sizes, room)
         if value <= 1 + gap:  # no solution needs less than 1 / value of the sequences of this one
             break
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         up = step > 1e-9
         if not up.any():
             break
-        j = int(np.where(up, np.maximum(inverse @ need, 0) / np.where(up, step, 1), np.inf).argmin())
+        amounts = np.maximum((inverse * need).sum(axis=1), 0)
+        j = int(np.where(up, amounts / np.where(up, step, 1), np.inf).argmin())
         basis[:, j] = column
         row = inverse[j] / step[j]
         inverse -= np.outer(step, row)
         inverse[j] = row
-    counts = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-9).astype(np.int64)
+    counts = np.floor(np.maximum((invert(basis) * need).sum(axis=1), 0) + 1e-9).astype(np.int64)
     out, left = [], need.astype(np.int64)
     for j in np.flatnonzero(counts):
         column = basis[:, j].astype(np.int64)
