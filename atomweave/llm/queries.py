@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, licenses, media, minhash, neighbours, packing, pii, toxicity
+from . import bpe, html_text, licenses, media, minhash, neighbours, ngram, packing, pii, toxicity
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_licenses, op3_toxicity, op4_pii, op5_html_text, op6_neighbours, op7_bpe, op8_minhash, op9_packing)}
+def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_held_out(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_licenses, op3_toxicity, op4_pii, op5_html_text, op6_neighbours, op7_bpe, op8_minhash, op9_packing, op10_ngram)}
 
 ORACLE_SQL: dict[str, str] = {}
