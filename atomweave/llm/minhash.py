@@ -235,6 +235,8 @@ def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: Da
     need = int(ALIKE * BANDS * ROWS)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:  # a side without rows has no columns either
+            return pa.table([pa.array([], pa.int64())] * 5, names=["a", "b", "own", "other", "equal"])
         ra, rb = a.column("root").to_numpy(), b.column("root").to_numpy()
         na, nb = a.column("node").to_numpy(), b.column("node").to_numpy()
         sa, sb = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (a, b))
