@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     take, roots = 1, None
     while True:
         roots = cut(components(tested.where("linked").select("a", "b"), f"{folder}/components{links.turn}"), f"{folder}/roots{links.turn}")
-        more = _untested(members, roots, known, tested, take, f"{folder}/open{links.turn}")
+        more = _untested(members, roots, known, tested, take, percent, f"{folder}/open{links.turn}")
         if more is None:
             break
         tested = cut(tested.unionByName(links.verify(more)), f"{folder}/tested{links.turn}")
@@ -216,22 +216,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame, take: int, folder: str) -> DataFrame | None:
+def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame, take: int, percent: int, folder: str) -> DataFrame | None:
     """Pairs (a, b) of one bucket and two components that look alike and aren't tested: take per class and foreign component."""
     r = roots.withColumnsRenamed({"node": "lead", "root": "lead_root"})
     rooted = members.join(roots, "node", "left").join(r, "lead", "left")
     rooted = rooted.select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
     open_ = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.sum((F.col("root") != F.col("lead_root")).cast("long")).alias("out")).where("out > 0 and s > 1")
     inside = rooted.join(open_, "bucket")
-    sigs = known.select("node", "sig").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sigs = known.select("node", "sig", "n").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     full = cut(inside.join(sigs, "node"), folder)
     if full.isEmpty():
         return None
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     every = F.sequence(F.lit(0), blocks(F.col("s")) - 1)
     deal = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    left = full.where("root != lead_root").select("bucket", deal(F.col("out")).alias("x"), F.explode(every).alias("y"), "node", "root", "sig")
-    right = full.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("out")) - 1)).alias("x"), deal(F.col("s")).alias("y"), "node", "root", "sig")
+    left = full.where("root != lead_root").select("bucket", deal(F.col("out")).alias("x"), F.explode(every).alias("y"), "node", "root", "sig", "n")
+    right = full.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("out")) - 1)).alias("x"), deal(F.col("s")).alias("y"), "node", "root", "sig", "n")
     need = int(ALIKE * BANDS * ROWS)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -239,11 +239,13 @@ def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: Da
             return pa.table([pa.array([], pa.int64())] * 5, names=["a", "b", "own", "other", "equal"])
         ra, rb = a.column("root").to_numpy(), b.column("root").to_numpy()
         na, nb = a.column("node").to_numpy(), b.column("node").to_numpy()
+        za, zb = a.column("n").to_numpy(), b.column("n").to_numpy()
         sa, sb = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (a, b))
         out: list[np.ndarray] = []
         for i in range(len(na)):
             equal = (sb == sa[i]).sum(axis=1)
-            ok = np.flatnonzero((equal >= need) & (rb != ra[i]))
+            fit = 100 * np.minimum(zb, za[i]) >= percent * np.maximum(zb, za[i])
+            ok = np.flatnonzero((equal >= need) & (rb != ra[i]) & fit)
             if len(ok):
                 out.append(np.stack((np.minimum(na[i], nb[ok]), np.maximum(na[i], nb[ok]), np.full(len(ok), na[i]), rb[ok], equal[ok])))
         got = np.concatenate(out, axis=1) if out else np.empty((5, 0), np.int64)
