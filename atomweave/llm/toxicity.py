@@ -180,8 +180,12 @@ class Network:
 
     def vectors(self, letters: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Of distinct words: table row beside the pooled character states."""
-        pooled = self.chars.pooled(self.chars.gates(self.letters[letters]), (letters > 0).astype(np.float32))
-        return np.concatenate((self.table[slots], pooled), axis=1)
+        out = np.empty((len(slots), WORD_DIM + 2 * CHAR_STATE), np.float32)
+        for at in range(0, len(slots), RUN):
+            part = letters[at : at + RUN]
+            out[at : at + RUN, :WORD_DIM] = self.table[slots[at : at + RUN]]
+            out[at : at + RUN, WORD_DIM:] = self.chars.pooled(self.chars.gates(self.letters[part]), (part > 0).astype(np.float32))
+        return out
 
     def train(self, docs: list[tuple[str, int]], seed: int = 2) -> Network:
         """docs: (text, 0 or 1)."""
@@ -193,10 +197,8 @@ class Network:
         ids: dict[str, int] = {}
         parts = []  # windows of ids, first row of each document
         count = (Counter(), Counter())
-        tokens = []
-        for text, y in docs:
-            w = words_of(text)
-            tokens.append(w)
+        tokens = [words_of(text) for text, _ in docs]
+        for w, (_, y) in zip(tokens, docs, strict=True):
             count[y].update(set(w))
         n_y = [sum(y == k for _, y in docs) for k in (0, 1)]
         odds = {w: np.log((count[1][w] + 0.1) / (n_y[1] + 1)) - np.log((count[0][w] + 0.1) / (n_y[0] + 1)) for w in count[1] if count[1][w] >= 3}
@@ -207,11 +209,12 @@ class Network:
                 best = sorted(range(len(own)), key=lambda k: -max((odds.get(x, 0) for x in own[k]), default=0))[: WINDOWS // 2]
                 own = [own[k] for k in sorted({*best, *rng.choice(len(own), WINDOWS // 2, replace=False).tolist()})]
             guess.append(max(range(len(own)), key=lambda k: max((odds.get(x, 0) for x in own[k]), default=0)))
-            parts += [[ids.setdefault(x, len(ids) + 1) for x in win] + [0] * (WIDTH - len(win)) for win in own]
-            first.append(len(parts))
-        grid, first = np.array(parts, np.int32), np.array(first)
-        letters = np.array([[0] * LETTERS] + [letters_of(w) for w in ids], np.int64)
-        slots = np.array([0] + [slot_of(w) for w in ids], np.int64)
+            parts.append(np.array([[ids.setdefault(x, len(ids) + 1) for x in win] + [0] * (WIDTH - len(win)) for win in own], np.int32))
+            first.append(first[-1] + len(own))
+        grid, first = np.concatenate(parts), np.array(first)
+        del tokens, parts
+        letters = np.array([[0] * LETTERS] + [letters_of(w) for w in ids], np.int16)
+        slots = np.array([0] + [slot_of(w) for w in ids], np.int32)
         labels = np.array([y for _, y in docs], np.float32)
         state: dict = {}
         step = 0
@@ -294,14 +297,8 @@ class Scorer:
         if new:
             for w in new:
                 ids[w] = len(ids) + 1
-            fs, bs = [self.f[: len(ids) - len(new) + 1]], [self.b[: len(ids) - len(new) + 1]]
-            for at in range(0, len(new), 8192):
-                part = new[at : at + 8192]
-                vec = self.net.vectors(np.array([letters_of(w) for w in part]), np.array([slot_of(w) for w in part]))
-                f, b = self.net.words.gates(vec)
-                fs.append(f)
-                bs.append(b)
-            self.f, self.b = np.concatenate(fs), np.concatenate(bs)
+            f, b = self.net.words.gates(self.net.vectors(np.array([letters_of(w) for w in new], np.int16), np.array([slot_of(w) for w in new], np.int32)))
+            self.f, self.b = np.concatenate((self.f, f)), np.concatenate((self.b, b))
         return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
 
     def score(self, texts: list[str]) -> np.ndarray:
