@@ -80,7 +80,7 @@ _SOURCE = """
 3 apache-2.0 compliance :: you may not use this file except in compliance with the license
 3 apache-2.0 distributed :: unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
 3 apache-2.0 conditions :: terms and conditions for use reproduction and distribution
-3 apache-1.1 acknowledgment :: this product includes software developed by the apache software foundation
+3 apache-1.1 apache :: this product includes software developed by the apache software foundation
 3 gpl redistribute :: this program is free software you can redistribute it and or modify it
 3 lgpl redistribute :: this library is free software you can redistribute it and or modify it
 3 gpl useful :: this program is distributed in the hope that it will be useful but without any warranty
@@ -97,22 +97,22 @@ _SOURCE = """
 3 zlib altered :: altered source versions must be plainly marked as such
 3 zlib misrepresented :: the origin of this software must not be misrepresented
 3 zlib arising :: in no event will the authors be held liable for any damages arising from the use of this software
-3 bsl-1.0 boost :: permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+3 bsl-1.0 permission :: permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
 3 unlicense unencumbered :: this is free and unencumbered software released into the public domain
 3 wtfpl fuck :: you just do what the fuck you want to
-3 cc0 waive :: (has|have) waived all copyright and related or neighboring rights
+3 cc0 waived :: (has|have) waived all copyright and related or neighboring rights
 3 cc0 dedicated :: the person who associated a work with this deed has dedicated the work to the public domain
 3 cc-by adapt :: you are free to share( copy and redistribute the material in any medium or format)? and adapt
 3 cc-by appropriate :: you must give appropriate credit provide a link to the license and indicate if changes were made
-3 cc-by-sa sharealike :: if you remix transform or build upon the material you must distribute your contributions under the same license
-3 cc-by-nc noncommercial :: you may not use the material for commercial purposes
-3 cc-by-nd derivatives :: if you remix transform or build upon the material you may not distribute the modified material
+3 cc-by-sa remix :: if you remix transform or build upon the material you must distribute your contributions under the same license
+3 cc-by-nc commercial :: you may not use the material for commercial purposes
+3 cc-by-nd remix :: if you remix transform or build upon the material you may not distribute the modified material
 3 ofl-1.1 font :: this font software is licensed under the sil open font license
 3 ofl-1.1 reserved :: no modified version of the font software may use the reserved font name
 3 artistic package :: the intent of this (document|artistic license) is to state the conditions under which a package may be copied
 3 python psf :: psf hereby grants licensee a nonexclusive royalty free world wide license
 3 ncsa deal :: to deal with the software without restriction
-3 postgresql regents :: permission to use copy modify and distribute this software and its documentation for any purpose without fee
+3 postgresql permission :: permission to use copy modify and distribute this software and its documentation for any purpose without fee
 3 openssl openssl :: this product includes software developed by the openssl project
 3 gfdl copy :: permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
 3 gfdl invariant :: with no invariant sections no front cover texts and no back cover texts
@@ -124,7 +124,7 @@ _SOURCE = """
 3 proprietary unauthorized :: unauthorized (copying|use|reproduction|distribution)( or [^ ]+){0,3} (of this [^ ]+ )?(via any medium )?is strictly prohibited
 3 proprietary reproduced :: no part of this [^ ]+ may be reproduced
 3 proprietary permission :: without (the )?(prior |express ){1,2}(written )?(permission|consent) of the (author|publisher|owner|copyright holder)
-3 eula agreement :: by (installing|downloading|using|opening) (this|the) (software|product|package) you (agree|accept)
+3 eula you :: by (installing|downloading|using|opening) (this|the) (software|product|package) you (agree|accept)
 3 non-commercial noncommercial :: for (personal and )?(noncommercial|non commercial) use only
 2 mit mit :: (released|licensed|distributed|available|provided|published) under (the )?(terms of (the )?)?mit license
 2 mit mit :: under the mit license
@@ -134,15 +134,15 @@ _SOURCE = """
 2 bsd bsd :: (released|licensed|distributed|available) under (the )?(terms of (the )?)?(a )?bsd( style)? license
 2 bsd-2-clause bsd :: under the (2|two) clause bsd license
 2 bsd-3-clause bsd :: under the (3|three) clause bsd license
-2 bsd-2-clause bsd :: under the (simplified|freebsd) (bsd )?license
+2 bsd-2-clause bsd :: under the simplified bsd license
 2 bsd-3-clause bsd :: under the (new|modified|revised) bsd license
 2 gpl-2.0-or-later gnu :: under the terms of the gnu general public license as published by the free software foundation either version 2
 2 gpl-3.0-or-later gnu :: under the terms of the gnu general public license as published by the free software foundation either version 3
 2 gpl-2.0-only gnu :: under the terms of the gnu general public license version 2
 2 gpl-3.0-only gnu :: under the terms of the gnu general public license version 3
 2 gpl gnu :: under the terms of the gnu general public license
-2 gpl-2.0 gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl( v| version )?2
-2 gpl-3.0 gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl( v| version )?3
+2 gpl-2.0 gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl( v| version)? 2
+2 gpl-3.0 gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl( v| version)? 3
 2 gpl gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl
 2 lgpl lesser :: under the terms of the gnu (lesser|library) general public license
 2 lgpl-2.1 lesser :: gnu lesser general public license( as published by the free software foundation either)? version 2 1
@@ -243,7 +243,7 @@ _SOURCE = """
 1 fair-use fair :: fair use
 1 copyleft copyleft :: copyleft
 1 proprietary proprietary :: proprietary license
-1 eula eula :: end user licen[cs]e agreement
+1 eula user :: end user licen[cs]e agreement
 1 royalty-free royalty :: royalty free( license)?
 1 shareware shareware :: shareware
 1 freeware freeware :: freeware

@@ -1,0 +1,92 @@
+"""License scan and personal data against plain versions in Python."""
+
+import hashlib
+import re
+
+import pytest
+
+from atomweave.llm import licenses, pii
+from atomweave.llm.common import LOWER, UPPER
+from atomweave.llm.queries import table
+
+MORE = [
+    (100, "Licensed under the MIT License. CC-BY-SA 4.0; cc by cc by"), (101, "GNU General Public License version 3 all rights reserved. SPDX-License-Identifier: GPL-3.0-or-later"),
+    (102, "cc by " * 300 + "general public license " * 50), (103, "Ünder the Apache License, Version 2.0"), (104, "a@b.c%x@d.e a@b.cX_y@d.e f@g"), (105, "é1.2.3.4 00001.2.3.255 1.2.3.256 1.2.3.4.5.6.7.8"),
+    (106, "card 4111 1111 1111 1111 x 4111-1111-1111-1112"), (107, "+1 (415) 555-1212 +123 ++4412345678901"), (108, "GB82 WEST 1234 5698 7654 32 and 123-45-6789"), (109, "x" * 30000 + "@a.b"), (110, "1" * 20000),
+    (111, "a." * 5000 + "@" + "b." * 5000 + "c"), (112, "1." * 8000), (113, "\U0001f600 q@w.com"), (114, "1 " * 9000),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, make, odd_rows, sf_dir):
+    rows = [(r.doc_id + 1000, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    rows = [*odd_rows, *MORE, *rows]
+    return rows, make(rows)
+
+
+def scan(text):
+    words = re.findall(licenses.WORD, (text or "").translate(str.maketrans(UPPER, LOWER)))
+    joined, found = " " + " ".join(words) + " ", []
+    for rule, tier, label, keyword, pattern in licenses._table():
+        if keyword in words:
+            for m in re.finditer(f"(?<= )(?:{pattern})(?= )", joined):
+                first = joined[: m.start()].count(" ") - 1
+                found.append((first, first + m[0].count(" ") + 1, tier, rule, label))
+    base, other = [d for d in found if not d[2]], [d for d in found if d[2]]
+    covers = lambda e, d: e is not d and e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or (e[2] == d[2] and (e[1] - e[0], -e[3]) > (d[1] - d[0], -d[3])))
+    kept = [d for d in other if not any(covers(e, d) for e in other)]
+    labels = lambda ds: ",".join(sorted({d[4] for d in ds}))
+    score = max([0.0, *[licenses.SCORES[d[2]] for d in kept], *([licenses.SCORES[1]] if base else [])])
+    return len(words), len(base), min((d[0] for d in base), default=None), max((d[0] for d in base), default=None), labels(base), labels(base + kept), score, len(kept)
+
+
+def test_licenses(docs, empty):
+    rows, df = docs
+    got = licenses.digests(df).collect()
+    for r, (i, t) in zip(got, rows, strict=True):
+        assert tuple(r) == (i, *scan(t)), (i, t and t[:80])
+    assert licenses.digests(empty).count() == 0
+
+
+def test_keywords_gate_no_match_away():
+    assert len(licenses.rules()) > 200
+    for _, _, keyword, pattern in licenses.rules():
+        needed = re.sub(r"\([^()]*\)\?", "", re.sub(r"\([^()]*\)\?", "", pattern))
+        assert re.search(rf"(?<![a-z0-9]){re.escape(keyword)}(?![a-z0-9])", needed), pattern
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum((d if k % 2 == 0 else d * 2 - 9 * (d > 4)) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def ok(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+
+def linear(text):
+    """The quadratic cases of the plain e-mail pattern are left to their linear twin here."""
+    return text if len(text) < 5000 or "@" not in text else None
+
+
+def test_pii(docs, empty):
+    rows, df = docs
+    for r, (i, t) in zip(pii.digests(df).collect(), rows, strict=True):
+        if linear(t or "") is None:
+            continue
+        found = {k: [(m.start(), m.end()) for m in re.finditer(p, t or "") if ok(k, m[0])] for k, p in PATTERNS.items()}
+        assert (r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) == (i, *map(len, found.values())), t[:80]
+        text = ",".join(f"{k}:{a}:{b}" for k, v in found.items() for a, b in v)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.spans.startswith(text)
+    assert pii.digests(empty).count() == 0
+
+
+def test_pii_method(make):
+    df = make([(1, "GB82 WEST 1234 5698 7654 32 and 123-45-6789"), (2, "GB82 WEST 1234 5698 7654 33 and 000-45-6789"), (3, "card 4111 1111 1111 1111"), (4, "zzzz 4111 1111 1111 1111"), (5, None)])
+    got = {r.doc_id: r for r in pii.digests(df).collect()}
+    assert got[1].spans == "iban:0:27,ssn:32:43" and got[2].spans == "" and (got[3].n_sure, got[4].n_sure) == (1, 0)
+    masked = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert masked[1].text == "[IBAN] and [SSN]" and masked[3].text == "card [CARD]" and masked[5].text is None and masked[1].spans == "z"
