@@ -68,7 +68,8 @@ def matches(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return out[[*own, "i", "j"]]
 
     side = lambda d: d.select(*own, "atom_idx", F.col("name").alias("name_")).groupBy(*own)
-    return side(a).cogroup(side(b)).applyInPandas(run, f"{head}, i long, j long").drop("_all")
+    b = b.select(*[F.col(k).alias(f"_b_{k}") for k in own], "atom_idx", F.col("name").alias("name_")).groupBy(*[f"_b_{k}" for k in own])
+    return side(a).cogroup(b).applyInPandas(run, f"{head}, i long, j long").drop("_all")
 
 
 def fit_matching(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -172,7 +172,8 @@ def assign(atoms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         r = r.sort_values("resindex")
         return r[[*own, "resindex"]].assign(ss=list(code))
 
-    out = res.groupBy(*own).cogroup(bonds.groupBy(*own)).applyInPandas(run, f"{head}, resindex long, ss string")
+    bonds = bonds.withColumnsRenamed({k: f"_b_{k}" for k in own})  # the sides of a cogroup must not share columns
+    out = res.groupBy(*own).cogroup(bonds.groupBy(*[f"_b_{k}" for k in own])).applyInPandas(run, f"{head}, resindex long, ss string")
     return out.drop("_all")
 
 

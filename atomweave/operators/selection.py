@@ -255,8 +255,12 @@ class Parser:
                 self.need(")")
                 if self.peek()[1] not in (*_COMPARE, "+", "-", "*", "/", "^"):
                     return node
-            except SelectionSyntaxError:
-                pass
+            except SelectionSyntaxError as e:
+                self.at = mark
+                try:
+                    return self.comparison()
+                except SelectionSyntaxError as other:  # the reading that came farther tells more
+                    raise max(e, other, key=lambda x: x.start) from None
             self.at = mark
         return self.comparison()
 
@@ -326,9 +330,10 @@ class Parser:
 
     def comparison(self):
         parts = [self.math()]
-        while len(parts) < 5 and (op := self.take(*_COMPARE)):
+        while len(parts) < 5 and (op := self.peek()[1]) in _COMPARE:
             if len(parts) == 3 and (op[0] not in "<>" or op[0] != parts[1][0]):
                 self.fail("a comparison in the same direction")
+            self.take(op)
             parts += [op, self.math()]
         if len(parts) == 1:
             self.fail(*_COMPARE)
