@@ -6,12 +6,13 @@
 2. Bands of the signature put classes into buckets. In every bucket each class is verified against the least one:
    as many pairs as members, however large the bucket.
 3. Buckets that the links found so far don't make one component go on: members outside the least one's component
-   meet the others in blocks, signatures compared in place, and for each class and foreign component only the most
-   alike untested pairs are verified; the number grows fourfold from round to round until none is left. So no link
-   between different texts is lost to the star of step 2, and no bucket is ever expanded into all its pairs.
+   meet the others in blocks, signatures compared in place, and for each class only its most alike untested partners
+   in other components are verified; the number grows eightfold from round to round until none is left. So no link
+   between different texts is lost to the star of step 2, and a bucket is not expanded into all its pairs: once its
+   classes are one component, as those of true copies are after a round or two, nothing of it is left to test.
 
 A pair of similarity 0.8 shares a band but for a probability of (1 - 0.8**ROWS)**BANDS = 3e-6, and fails the
-comparison of signatures in step 3 with less than 1e-7. Two different sets share a class with probability 2**-64.
+comparison of signatures in step 3 with about 5e-6. Two different sets share a class with probability 2**-64.
 
 Defined results: a text without words (null too) has an empty set and links with nothing; rows without an id have
 null component and are kept; repeated rows get repeated results; an id with several texts is judged text by text;
@@ -33,8 +34,8 @@ from .graph import components
 
 #: Bands of a signature and places in each.
 BANDS, ROWS = 32, 5
-#: Share of equal places from which step 3 verifies a pair, members of a block of it, classes that a broadcast may name.
-ALIKE, BLOCK, BROADCAST = 0.62, 512, 2_000_000
+#: Share of equal places from which step 3 verifies a pair, members of a block of it, partners of a class in its first round, classes that a broadcast may name.
+ALIKE, BLOCK, FIRST_TAKE, BROADCAST = 0.66, 512, 2, 2_000_000
 #: Word hashes that a worker remembers.
 CACHE = 500_000
 
@@ -196,19 +197,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classes = cut(known.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.min("n").alias("n")), f"{folder}/classes")
     # one row of each class: its least id's (rows repeated within one id are equal)
     ones = known.join(classes.select("node", F.col("min_id").alias("doc_id")), ["node", "doc_id"], "left_semi").select("node", "bands").dropDuplicates(["node"])
-    placed = ones.select("node", F.explode("bands").alias("bucket"))
+    placed = ones.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead < _last").select("bucket", "lead")
     members = cut(placed.join(shared, "bucket").where("node != lead"), f"{folder}/members")
     links = Links(docs, classes, size, percent, folder, id_col, text_col)
     tested = links.verify(members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    take, roots = 1, None
+    take, done, roots = FIRST_TAKE, 0, None
     while True:
         roots = cut(components(tested.where("linked").select("a", "b"), f"{folder}/components{links.turn}"), f"{folder}/roots{links.turn}")
-        more = _untested(members, roots, known, tested, take, percent, f"{folder}/open{links.turn}")
+        more = _untested(members, roots, known, tested, take, done, percent, f"{folder}/open{links.turn}")
         if more is None:
             break
         tested = cut(tested.unionByName(links.verify(more)), f"{folder}/tested{links.turn}")
-        take *= 4
+        take, done = take * 8, done + take
     least = classes.join(roots, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     named = least.join(least.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("node", "component_id")
     out = marked.select("doc_id", "n", "node").join(named, "node", "left")
@@ -216,11 +217,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame, take: int, percent: int, folder: str) -> DataFrame | None:
-    """Pairs (a, b) of one bucket and two components that look alike and aren't tested: take per class and foreign component."""
+def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame, take: int, done: int, percent: int, folder: str) -> DataFrame | None:
+    """Pairs (a, b) of one bucket and two components that look alike and aren't tested: take per class, the most alike first.
+
+    done: how many earlier rounds took for a class at most.
+    """
     r = roots.withColumnsRenamed({"node": "lead", "root": "lead_root"})
     rooted = members.join(roots, "node", "left").join(r, "lead", "left")
-    rooted = rooted.select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
+    rooted = rooted.select("bucket", "band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
     open_ = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.sum((F.col("root") != F.col("lead_root")).cast("long")).alias("out")).where("out > 0 and s > 1")
     inside = rooted.join(open_, "bucket")
     sigs = known.select("node", "sig", "n").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
@@ -231,37 +235,35 @@ def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: Da
     every = F.sequence(F.lit(0), blocks(F.col("s")) - 1)
     deal = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     left = full.where("root != lead_root").select("bucket", deal(F.col("out")).alias("x"), F.explode(every).alias("y"), "node", "root", "sig", "n")
-    right = full.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("out")) - 1)).alias("x"), deal(F.col("s")).alias("y"), "node", "root", "sig", "n")
+    right = full.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("out")) - 1)).alias("x"), deal(F.col("s")).alias("y"), "node", "root", "sig", "n", "band")
     need = int(ALIKE * BANDS * ROWS)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:  # a side without rows has no columns either
-            return pa.table([pa.array([], pa.int64())] * 5, names=["a", "b", "own", "other", "equal"])
+            return pa.table([pa.array([], pa.int64())] * 4, names=["a", "b", "own", "equal"])
         ra, rb = a.column("root").to_numpy(), b.column("root").to_numpy()
         na, nb = a.column("node").to_numpy(), b.column("node").to_numpy()
+        band = b.column("band")[0].as_py()
         za, zb = a.column("n").to_numpy(), b.column("n").to_numpy()
         sa, sb = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (a, b))
         out: list[np.ndarray] = []
         for i in range(len(na)):
-            equal = (sb == sa[i]).sum(axis=1)
+            same = sb == sa[i]
+            equal = same.sum(axis=1)
             fit = 100 * np.minimum(zb, za[i]) >= percent * np.maximum(zb, za[i])
             ok = np.flatnonzero((equal >= need) & (rb != ra[i]) & fit)
+            # a pair is handed on by the first band that it shares only
+            ok = ok[same[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
             if len(ok):
-                out.append(np.stack((np.minimum(na[i], nb[ok]), np.maximum(na[i], nb[ok]), np.full(len(ok), na[i]), rb[ok], equal[ok])))
-        got = np.concatenate(out, axis=1) if out else np.empty((5, 0), np.int64)
-        if got.shape[1]:  # the most alike of each (class, foreign component), some more for those tested already
-            order = np.lexsort((-got[4], got[3], got[2]))
-            got = got[:, order]
-            new = np.append(True, (got[2, 1:] != got[2, :-1]) | (got[3, 1:] != got[3, :-1]))
-            rank = np.arange(got.shape[1]) - np.maximum.accumulate(np.where(new, np.arange(got.shape[1]), 0))
-            got = got[:, rank < take + done]
-        return pa.table([pa.array(got[k].astype(np.int64)) for k in range(5)], names=["a", "b", "own", "other", "equal"])
-
-    done = 0 if take == 1 else (take - 1) // 3  # what earlier rounds took: 1 + 4 + 16 ...
+                ok = ok[np.argsort(-equal[ok], kind="stable")[: take + done]]  # some more for those tested already
+                out.append(np.stack((np.minimum(na[i], nb[ok]), np.maximum(na[i], nb[ok]), np.full(len(ok), na[i]), equal[ok])))
+        got = np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)
+        return pa.table([pa.array(got[k].astype(np.int64)) for k in range(4)], names=["a", "b", "own", "equal"])
+
     key = ("bucket", "x", "y")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a long, b long, own long, other long, equal long")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a long, b long, own long, equal long")
     fresh = found.dropDuplicates(["a", "b", "own"]).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("own", "other").orderBy(F.desc("equal"), "a", "b"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("equal"), "a", "b"))
     pairs = cut(fresh.withColumn("_rank", rank).where(F.col("_rank") <= take).select("a", "b").distinct(), f"{folder}-pairs")
     return None if pairs.isEmpty() else pairs
 

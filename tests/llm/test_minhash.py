@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from atomweave.llm import minhash
+from atomweave.llm import graph, minhash
 from atomweave.llm.common import LOWER, UPPER
 
 
@@ -72,6 +72,28 @@ def test_near_duplicates(make, rows, odd_rows):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got.collect())
 
 
+def test_components(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    pairs = [(rng.randint(-500, 500), rng.randint(-500, 500)) for _ in range(420)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2100)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    near = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for s in sorted(near):
+        todo = [] if s in want else [s]
+        while todo:
+            n = todo.pop()
+            if n not in want:
+                want[n] = s
+                todo += near[n]
+    for k, bound in enumerate((10**6, 0)):  # in one task, and contracted round by round
+        monkeypatch.setattr(graph, "ONE_TASK", bound)
+        assert {r.node: r.root for r in graph.components(edges, f"file://{tmp_path}/{k}").collect()} == want
+
+
 def test_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
