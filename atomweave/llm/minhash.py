@@ -5,11 +5,10 @@
    to round, so places are filled evenly and the rounds stop once no later rank can win (for most texts after one).
 2. Bands of the signature put classes into buckets. In every bucket each class is verified against the least one:
    as many pairs as members, however large the bucket.
-3. Buckets that the links found so far don't make one component go on: members outside the least one's component
-   meet the others in blocks, signatures compared in place, and for each class only its most alike untested partners
-   in other components are verified; the number grows eightfold from round to round until none is left. So no link
-   between different texts is lost to the star of step 2, and a bucket is not expanded into all its pairs: once its
-   classes are one component, as those of true copies are after a round or two, nothing of it is left to test.
+3. Buckets that these links don't make one component go on: members outside the least one's component meet the others
+   in blocks that hold their sets. Signatures are compared in place, the most alike pairs first; pairs that are joined
+   already are passed over, the rest is verified there and then, and only links that join components leave the block.
+   So no link between different texts is lost to the star of step 2, and no pair that fails becomes a row.
 
 A pair of similarity 0.8 shares a band but for a probability of (1 - 0.8**ROWS)**BANDS = 3e-6, and fails the
 comparison of signatures in step 3 with about 5e-6. Two different sets share a class with probability 2**-64.
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
@@ -34,8 +33,8 @@ from .graph import components
 
 #: Bands of a signature and places in each.
 BANDS, ROWS = 32, 5
-#: Share of equal places from which step 3 verifies a pair, members of a block of it, partners of a class in its first round, classes that a broadcast may name.
-ALIKE, BLOCK, FIRST_TAKE, BROADCAST = 0.66, 512, 2, 2_000_000
+#: Share of equal places from which step 3 verifies a pair, members of a block of it, classes that a broadcast may name.
+ALIKE, BLOCK, BROADCAST = 0.66, 256, 2_000_000
 #: Word hashes that a worker remembers.
 CACHE = 500_000
 
@@ -105,6 +104,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def similar(x, y, percent: int) -> bool:
+    """Whether two sets (buffers of sorted hashes) have at least percent of their union in common."""
+    both = np.concatenate((np.frombuffer(x, _U), np.frombuffer(y, _U)))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def set_hash(elements: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(elements.tobytes()), _U).view(np.int64))
 
@@ -176,13 +183,7 @@ class Links:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                linked = []
-                for x, y in zip(b.column(2), b.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
-                    both = np.concatenate((x, y))
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    linked.append(100 * common >= percent * (len(both) - common))
+                linked = [similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
         return cut(met.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, linked boolean"), f"{here}-linked")
@@ -201,15 +202,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     shared = placed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead < _last").select("bucket", "lead")
     members = cut(placed.join(shared, "bucket").where("node != lead"), f"{folder}/members")
     links = Links(docs, classes, size, percent, folder, id_col, text_col)
-    tested = links.verify(members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    take, done, roots = FIRST_TAKE, 0, None
-    while True:
-        roots = cut(components(tested.where("linked").select("a", "b"), f"{folder}/components{links.turn}"), f"{folder}/roots{links.turn}")
-        more = _untested(members, roots, known, tested, take, done, percent, f"{folder}/open{links.turn}")
-        if more is None:
-            break
-        tested = cut(tested.unionByName(links.verify(more)), f"{folder}/tested{links.turn}")
-        take, done = take * 8, done + take
+    star = links.verify(members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()).where("linked").select("a", "b")
+    roots = cut(components(star, f"{folder}/star"), f"{folder}/roots")
+    found = star.unionByName(cut(_inside_buckets(members, roots, known, links, percent, folder), f"{folder}/inside"))
+    roots = cut(components(found, f"{folder}/all"), f"{folder}/components")
     least = classes.join(roots, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     named = least.join(least.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("node", "component_id")
     out = marked.select("doc_id", "n", "node").join(named, "node", "left")
@@ -217,55 +213,61 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _untested(members: DataFrame, roots: DataFrame, known: DataFrame, tested: DataFrame, take: int, done: int, percent: int, folder: str) -> DataFrame | None:
-    """Pairs (a, b) of one bucket and two components that look alike and aren't tested: take per class, the most alike first.
-
-    done: how many earlier rounds took for a class at most.
-    """
+def _inside_buckets(members: DataFrame, roots: DataFrame, known: DataFrame, links: Links, percent: int, folder: str) -> DataFrame:
+    """Links (a, b) that join different components inside buckets: all that are needed to join them."""
     r = roots.withColumnsRenamed({"node": "lead", "root": "lead_root"})
     rooted = members.join(roots, "node", "left").join(r, "lead", "left")
     rooted = rooted.select("bucket", "band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
-    open_ = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.sum((F.col("root") != F.col("lead_root")).cast("long")).alias("out")).where("out > 0 and s > 1")
+    sizes = rooted.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("s"), F.sum((F.col("root") != F.col("lead_root")).cast("long")).alias("out"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_same"))
+    # of buckets of the same members the first band's stays
+    open_ = sizes.where("out > 0 and s > 1").groupBy("s", "_same").agg(F.min(F.struct("band", "bucket", "out")).alias("_b")).select("_b.bucket", "s", "_b.out")
     inside = rooted.join(open_, "bucket")
-    sigs = known.select("node", "sig", "n").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    full = cut(inside.join(sigs, "node"), folder)
-    if full.isEmpty():
-        return None
+    nodes = cut(inside.select("node").distinct(), f"{folder}/open")
+    sets = cut(links.sets(nodes), f"{folder}/open-sets")
+    sigs = known.select("node", "sig", "n").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    full = cut(inside.join(sigs.join(sets, "node"), "node"), f"{folder}/blocks")
+    again = full.sparkSession.read.schema(full.schema).parquet(f"{folder}/blocks")  # the sides of a cogroup must not share columns
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    every = F.sequence(F.lit(0), blocks(F.col("s")) - 1)
     deal = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    left = full.where("root != lead_root").select("bucket", deal(F.col("out")).alias("x"), F.explode(every).alias("y"), "node", "root", "sig", "n")
-    right = full.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("out")) - 1)).alias("x"), deal(F.col("s")).alias("y"), "node", "root", "sig", "n", "band")
+    carried = ("node", "root", "sig", "n", "elements")
+    left = full.where("root != lead_root").select("bucket", deal(F.col("out")).alias("x"), F.explode(F.sequence(F.lit(0), blocks(F.col("s")) - 1)).alias("y"), *carried)
+    right = again.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("out")) - 1)).alias("x"), deal(F.col("s")).alias("y"), *carried, "band")
     need = int(ALIKE * BANDS * ROWS)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:  # a side without rows has no columns either
-            return pa.table([pa.array([], pa.int64())] * 4, names=["a", "b", "own", "equal"])
-        ra, rb = a.column("root").to_numpy(), b.column("root").to_numpy()
-        na, nb = a.column("node").to_numpy(), b.column("node").to_numpy()
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
         band = b.column("band")[0].as_py()
-        za, zb = a.column("n").to_numpy(), b.column("n").to_numpy()
+        (na, ra, za), (nb, rb, zb) = ([t.column(c).to_numpy() for c in ("node", "root", "n")] for t in (a, b))
         sa, sb = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (a, b))
-        out: list[np.ndarray] = []
+        alike = []
         for i in range(len(na)):
             same = sb == sa[i]
             equal = same.sum(axis=1)
             fit = 100 * np.minimum(zb, za[i]) >= percent * np.maximum(zb, za[i])
             ok = np.flatnonzero((equal >= need) & (rb != ra[i]) & fit)
-            # a pair is handed on by the first band that it shares only
+            # a pair is looked at under the first band that it shares only
             ok = ok[same[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            if len(ok):
-                ok = ok[np.argsort(-equal[ok], kind="stable")[: take + done]]  # some more for those tested already
-                out.append(np.stack((np.minimum(na[i], nb[ok]), np.maximum(na[i], nb[ok]), np.full(len(ok), na[i]), equal[ok])))
-        got = np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)
-        return pa.table([pa.array(got[k].astype(np.int64)) for k in range(4)], names=["a", "b", "own", "equal"])
+            alike += [(-int(equal[j]), i, int(j)) for j in ok]
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        ea, eb = a.column("elements"), b.column("elements")
+        out = []
+        for _, i, j in sorted(alike):  # the most alike first; what is joined already needs no test
+            p, q = find(int(ra[i])), find(int(rb[j]))
+            if p != q and similar(ea[i].as_buffer(), eb[j].as_buffer(), percent):
+                up[max(p, q)] = min(p, q)
+                out.append((int(na[i]), int(nb[j])))
+        return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     key = ("bucket", "x", "y")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a long, b long, own long, equal long")
-    fresh = found.dropDuplicates(["a", "b", "own"]).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("equal"), "a", "b"))
-    pairs = cut(fresh.withColumn("_rank", rank).where(F.col("_rank") <= take).select("a", "b").distinct(), f"{folder}-pairs")
-    return None if pairs.isEmpty() else pairs
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a long, b long")
 
 
 def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
