@@ -34,7 +34,7 @@ from .toxicity import fold
 #: Words in a part of level 1 and pairs in one of level 2, about; discount; decimals of a code's step.
 PART_WORDS, PART_PAIRS, DISCOUNT, STEP = 1 << 20, 2_000_000, 0.75, 0.04
 #: Words that a worker remembers, distinct words and tokens that it gathers before it hands them on, texts in a batch.
-CACHE, GATHER, TOKENS, TEXTS = 400_000, 300_000, 2_000_000, 128
+CACHE, GATHER, TOKENS, TEXTS = 400_000, 300_000, 2_000_000, 512
 END = b" "  # no word holds a space
 _U = np.uint64
 
@@ -149,7 +149,7 @@ class EliasFano:
         return ((self._select(i, self.ones, 0) - i) << self.width) | self.lows(i)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 if it isn't in the sequence: its high part names a short run, whose low parts are compared."""
+        """Place of each value, -1 if it isn't in the sequence: its high part names a run, whose low parts are searched."""
         out = np.full(len(value), -1, np.int64)
         high, low = value >> self.width, value & ((1 << self.width) - 1)
         ok = np.flatnonzero((value >= 0) & (high < self.zeros[-1])) if self.n else np.zeros(0, np.int64)
@@ -158,13 +158,17 @@ class EliasFano:
         h = high[ok]
         end = self._select(h, self.zeros, 255) - h
         at = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, 255) - h + 1, 0)
-        alive = np.flatnonzero(at < end)
-        while len(alive):
-            x = self.lows(at[alive])
-            hit = x == low[ok[alive]]
-            out[ok[alive[hit]]] = at[alive[hit]]
-            at[alive] += 1
-            alive = alive[(x < low[ok[alive]]) & (at[alive] < end[alive])]
+        stop, low = end.copy(), low[ok]
+        alive = np.flatnonzero(at < stop)
+        while len(alive):  # halves of the run: a frequent context's may be long
+            mid = (at[alive] + stop[alive]) // 2
+            less = self.lows(mid) < low[alive]
+            at[alive[less]] = mid[less] + 1
+            stop[alive[~less]] = mid[~less]
+            alive = alive[at[alive] < stop[alive]]
+        inside = np.flatnonzero(at < end)
+        hit = inside[self.lows(at[inside]) == low[inside]]
+        out[ok[hit]] = at[hit]
         return out
 
 
@@ -262,13 +266,13 @@ class Pairs:
                 continue
             pointer, following, code, backoff = part
             own = np.flatnonzero(which == k)
-            h = context[own] - k * self.per
-            back[own] = backoff[h] * -STEP
-            begin = pointer[h]
+            h, each = np.unique(context[own] - k * self.per, return_inverse=True)  # pointers are read once a context
+            back[own] = (backoff[h] * -STEP)[each]
+            begin, end = pointer[h], pointer[h + 1]
             base = np.where(begin > 0, following[np.maximum(begin - 1, 0)], 0)
-            # a value of a later range would need an id beyond this one's end
-            at = following.find(np.where(word[own] >= 0, base + word[own] + 1, -1))
-            hit = (at >= begin) & (at < pointer[h + 1])
+            own, each = own[(word[own] >= 0) & (end > begin)[each]], each[(word[own] >= 0) & (end > begin)[each]]
+            at = following.find(base[each] + word[own] + 1)
+            hit = (at >= begin[each]) & (at < end[each])  # not of a later range
             found[own[hit]] = code[at[hit]] * -STEP
         return found, back
 
