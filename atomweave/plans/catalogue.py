@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elements as el
 from ..functions import geometry as g
-from ..operators import measure, modify, sequence, spatial
+from ..operators import measure, modify, perception, sequence, spatial
 from ..operators.selection import select
 from ..streaming import task
 from .views import ATOMS_SQL, FRAMES_SQL, POINTS_SQL, atoms, frames, points, table
@@ -484,3 +484,44 @@ def frames_average(spark, sf_dir):
 def guess_elements(spark, sf_dir):
     rows = [("CA", "ALA"), ("CA", "CA"), ("SOD", "SOD"), ("1HB2", "ALA"), ("FE", "HEM"), ("OXT", "ALA"), ("", "X"), ("CL", "CL"), ("SG", "CYS"), ("zn", "ZN")]
     return spark.createDataFrame(rows, "name string, resname string").withColumn("z", el.guess(F.col("name"), F.col("resname")))
+
+
+# -- bond graphs ------------------------------------------------------------------------------------------------
+
+#: Benzene without hydrogens (id 1), protonated methylamine's heavy atoms (2) and pyrrole's ring (3).
+_MOLECULES = [(1, i, 6, 0) for i in range(6)] + [(2, 0, 6, 0), (2, 1, 7, 1)] + [(3, i, 7 if i == 0 else 6, 0) for i in range(5)]
+_BONDS = [(1, i, i, (i + 1) % 6, 1 + i % 2) for i in range(6)] + [(2, 0, 0, 1, 1)] + [(3, i, i, (i + 1) % 5, (1, 2, 1, 2, 1)[i]) for i in range(5)]
+_GRAPH_SQL = f"with atoms(mol_id, atom_idx, z, q) as (values {', '.join(map(str, _MOLECULES))}), bonds(mol_id, bond_idx, i1, i2, o) as (values {', '.join(map(str, _BONDS))}), ends as (select mol_id, i1 as atom_idx, o from bonds union all select mol_id, i2, o from bonds)"
+
+
+def _molecules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    a = spark.createDataFrame(_MOLECULES, "mol_id int, atom_idx long, atomic_number int, formal_charge int")
+    return a, spark.createDataFrame(_BONDS, "mol_id int, bond_idx long, i1 long, i2 long, order int")
+
+
+@query(f"{_GRAPH_SQL} select a.mol_id, cast(a.atom_idx as bigint) as atom_idx, count(e.o) as degree, count(*) filter (e.o = 2) as n_double from atoms a left join ends e on a.mol_id = e.mol_id and a.atom_idx = e.atom_idx group by all")
+def degree_count(spark, sf_dir):
+    return perception.degrees(*_molecules(spark), ["mol_id"]).select("mol_id", "atom_idx", "degree", "n_double")
+
+
+@query(f"{_GRAPH_SQL} select mol_id, cast(sum(q) as double) as total_charge from atoms group by mol_id")
+def total_charge(spark, sf_dir):
+    return measure.total_charge(_molecules(spark)[0], ["mol_id"])
+
+
+@query(f"{_GRAPH_SQL}, v as (select mol_id, atom_idx, sum(o) as used from ends group by all) select a.mol_id, cast(a.atom_idx as bigint) as atom_idx, cast((case z when 6 then 4 else 3 end) + q - used as integer) as implicit_h from atoms a join v on a.mol_id = v.mol_id and a.atom_idx = v.atom_idx")
+def implicit_h(spark, sf_dir):
+    return perception.perceive(*_molecules(spark)).select("mol_id", "atom_idx", "implicit_h")
+
+
+@query("select * from (values (1, 6, true), (3, 5, true)) t(mol_id, size, aromatic)")
+def rings(spark, sf_dir):
+    return perception.rings(*_molecules(spark)).select("mol_id", "size", "aromatic")
+
+
+@query(f"{POINTS_SQL}, e as (select a.atom_idx as i, b.x as x from pts a, pts b where a.atom_idx <> b.atom_idx and {_D} <= 0.1) select i, count(*) as n, round(avg(x), 6) as mean_x from e group by i")
+def neighbour_avg(spark, sf_dir):
+    p = points(spark, sf_dir)
+    pairs = spatial.self_pairs(p, 0.1)
+    both = pairs.select("i", "j").union(pairs.select("j", "i"))
+    return both.join(p.select(F.col("atom_idx").alias("j"), "x"), "j").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_x"))
