@@ -60,15 +60,15 @@ def matches(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
             return pd.DataFrame(columns=[*own, "i", "j"])
-        p, q = p.sort_values("atom_idx").reset_index(drop=True), q.sort_values("atom_idx").reset_index(drop=True)
-        found = [(p.atom_idx[i], q.atom_idx[j]) for i, j in align(p.name_.tolist(), q.name_.tolist()) if p.name_[i] == q.name_[j]]
+        p, q = p.sort_values("atom_idx").reset_index(drop=True), q.sort_values("_b_idx").reset_index(drop=True)
+        found = [(p.atom_idx[i], q._b_idx[j]) for i, j in align(p.name_.tolist(), q._b_name.tolist()) if p.name_[i] == q._b_name[j]]
         out = pd.DataFrame(found, columns=["i", "j"])
         for k in own:
             out[k] = p[k][0]
         return out[[*own, "i", "j"]]
 
     side = lambda d: d.select(*own, "atom_idx", F.col("name").alias("name_")).groupBy(*own)
-    b = b.select(*[F.col(k).alias(f"_b_{k}") for k in own], "atom_idx", F.col("name").alias("name_")).groupBy(*[f"_b_{k}" for k in own])
+    b = b.select(*[F.col(k).alias(f"_b_{k}") for k in own], F.col("atom_idx").alias("_b_idx"), F.col("name").alias("_b_name")).groupBy(*[f"_b_{k}" for k in own])  # the sides of a cogroup must not share columns
     return side(a).cogroup(b).applyInPandas(run, f"{head}, i long, j long").drop("_all")
 
 
