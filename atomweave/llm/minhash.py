@@ -224,12 +224,12 @@ def _inside_buckets(members: DataFrame, roots: DataFrame, known: DataFrame, link
     inside = rooted.join(open_, "bucket")
     nodes = cut(inside.select("node").distinct(), f"{folder}/open")
     sets = cut(links.sets(nodes), f"{folder}/open-sets")
-    sigs = known.select("node", "sig", "n").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sigs = known.select("node", "sig", "bands", "n").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     full = cut(inside.join(sigs.join(sets, "node"), "node"), f"{folder}/blocks")
     again = full.sparkSession.read.schema(full.schema).parquet(f"{folder}/blocks")  # the sides of a cogroup must not share columns
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    carried = ("node", "root", "sig", "n", "elements")
+    carried = ("node", "root", "sig", "bands", "n", "elements")
     left = full.where("root != lead_root").select("bucket", deal(F.col("out")).alias("x"), F.explode(F.sequence(F.lit(0), blocks(F.col("s")) - 1)).alias("y"), *carried)
     right = again.select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("out")) - 1)).alias("x"), deal(F.col("s")).alias("y"), *carried, "band")
     need = int(ALIKE * BANDS * ROWS)
@@ -240,14 +240,14 @@ def _inside_buckets(members: DataFrame, roots: DataFrame, known: DataFrame, link
         band = b.column("band")[0].as_py()
         (na, ra, za), (nb, rb, zb) = ([t.column(c).to_numpy() for c in ("node", "root", "n")] for t in (a, b))
         sa, sb = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (a, b))
+        ka, kb = (t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS) for t in (a, b))
         alike = []
         for i in range(len(na)):
-            same = sb == sa[i]
-            equal = same.sum(axis=1)
+            equal = (sb == sa[i]).sum(axis=1)
             fit = 100 * np.minimum(zb, za[i]) >= percent * np.maximum(zb, za[i])
             ok = np.flatnonzero((equal >= need) & (rb != ra[i]) & fit)
-            # a pair is looked at under the first band that it shares only
-            ok = ok[same[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            # a pair is looked at under the first band that it shares only, told by the keys that made the buckets
+            ok = ok[(kb[ok] == ka[i]).argmax(axis=1) == band]
             alike += [(-int(equal[j]), i, int(j)) for j in ok]
         up: dict[int, int] = {}
 

@@ -72,6 +72,25 @@ def test_near_duplicates(make, rows, odd_rows):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got.collect())
 
 
+def test_bytes_that_agree_by_accident_hide_no_pair(spark, make, tmp_path):
+    text = [f"w{i}" for i in range(300)]
+    docs = make([(1, " ".join(text)), (2, " ".join([*text[:-1], "other"]))])
+    folder = f"file://{tmp_path}"
+    x, y = minhash.signed(docs, 5).orderBy("doc_id").collect()
+    shared = [k for k in range(minhash.BANDS) if x.bands[k] == y.bands[k]]
+    x_bands, x_sig = list(x.bands), bytearray(x.sig)
+    for k in range(shared[0] + 1):  # these bands' keys differ, their bytes agree
+        x_bands[k] = y.bands[k] + 1
+        x_sig[5 * k : 5 * k + 5] = y.sig[5 * k : 5 * k + 5]
+    known = spark.createDataFrame([(1, x.n, x.node, x_bands, bytes(x_sig)), (2, y.n, y.node, list(y.bands), bytes(y.sig))], minhash.signed(docs, 5).schema)
+    classes = known.select("node", known.doc_id.alias("min_id"), "n")
+    members = spark.createDataFrame([(y.bands[k], k, r.node, 0) for k in shared[1:] for r in (x, y)], "bucket long, band int, node long, lead long")
+    roots = spark.createDataFrame([], "node long, root long")
+    links = minhash.Links(docs, classes, 5, 80, folder, "doc_id", "text")
+    found = minhash._inside_buckets(members, roots, known, links, 80, folder).collect()
+    assert {frozenset(r) for r in found} == {frozenset((x.node, y.node))}
+
+
 def test_components(spark, tmp_path, monkeypatch):
     rng = random.Random(2)
     pairs = [(rng.randint(-500, 500), rng.randint(-500, 500)) for _ in range(420)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2100)]
