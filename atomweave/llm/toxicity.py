@@ -2,8 +2,8 @@
 
 A word enters as its own vector (hashed table) and as what a bidirectional character network with attention makes of
 its letters; a bidirectional word network with attention pools a window of words into one logit. Every text is
-scored over all of its overlapping windows; its score is that of its worst window. Gates are piecewise linear, so a
-step is a few multiply-adds, and windows of many texts run as one batch.
+scored over all of its overlapping windows, one from every word that WIDTH words begin with; its score is that of its
+worst window. Gates are piecewise linear, so a step is a few multiply-adds, and windows of many texts run as one batch.
 
 Training takes a bounded sample of labelled documents (SAMPLE by label, the smallest hashes, drawn in the engine) to
 the driver. A label is of the whole document, so windows are chosen in turns: those that tell the labels apart by
@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import one_thread
 
-#: Words of a window and from one to the next; letters of a word that enter (its first and last ones, if longer).
+#: Words of a window, and from one to the next of those that training picks from; letters of a word that enter (its first and last ones, if longer).
 WIDTH, STRIDE, LETTERS = 16, 8, 14
 #: Hashed word table, sizes of vectors and states.
 TABLE, WORD_DIM, CHAR_DIM, CHAR_STATE, STATE = 1 << 14, 8, 8, 6, 8
 #: Documents by label that training takes at most, and windows of one document that it looks at.
 SAMPLE, WINDOWS = {1: 1000, 0: 2000}, 60
 EPOCHS, BATCH, RATE = 10, 128, 0.015
-#: Windows that run as one batch when texts are scored; words that a worker remembers.
-RUN, CACHE = 4096, 300_000
+#: Windows of a batch when texts are scored (short texts; neighbours of a run of words); words that a worker remembers.
+RUN, SPAN, CACHE = 4096, 2048, 300_000
 
 _WORDS = re.compile(r"[^\W\d_]+", re.UNICODE)
 _ALPHABET = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzäöüßéèêëàâçîïôûùñíóáú'")}
@@ -274,7 +274,7 @@ class Network:
 
 
 def windows(words: list[str]) -> list[list[str]]:
-    """All overlapping windows: every word is in one, most are in WIDTH / STRIDE of them."""
+    """The windows that training picks from: every word is in one, most are in WIDTH / STRIDE of them."""
     return [words[at : at + WIDTH] for at in range(0, max(1, len(words) - WIDTH + STRIDE), STRIDE)]
 
 
@@ -291,6 +291,10 @@ class Scorer:
         f, b = self.net.words.gates(np.zeros((1, WORD_DIM + 2 * CHAR_STATE), np.float32))
         self.f, self.b = f, b
 
+    def _room(self, n: int) -> None:
+        if n > len(self.f):
+            self.f, self.b = (np.concatenate((g, np.empty((max(n - len(g), len(g)), g.shape[1]), np.float32))) for g in (self.f, self.b))
+
     def numbers(self, words: list[str]) -> np.ndarray:
         ids = self.ids
         new = list({w for w in words if w not in ids})
@@ -298,11 +302,47 @@ class Scorer:
             for w in new:
                 ids[w] = len(ids) + 1
             f, b = self.net.words.gates(self.net.vectors(np.array([letters_of(w) for w in new], np.int16), np.array([slot_of(w) for w in new], np.int32)))
-            self.f, self.b = np.concatenate((self.f, f)), np.concatenate((self.b, b))
+            self._room(len(ids) + 1)
+            self.f[len(ids) + 1 - len(new) : len(ids) + 1], self.b[len(ids) + 1 - len(new) : len(ids) + 1] = f, b
         return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
 
+    def every(self, numbers: np.ndarray) -> np.ndarray:
+        """Logits of the windows from each of the words that WIDTH of them begin with; columns are windows."""
+        net, h, n = self.net, STATE, len(numbers) - WIDTH + 1
+        weight, value = np.empty((2, WIDTH, n), np.float32)
+        q = net.words.parts["a"].p["q"]
+        for k, gates in (("f", self.f), ("b", self.b)):
+            x = np.ascontiguousarray(gates[numbers].T)
+            x[: 2 * h] *= 0.25  # the slope of the gates
+            x[: 2 * h] += 0.5
+            u = net.words.parts[k].p["U"].T
+            u1, u2 = np.ascontiguousarray(0.25 * u[: 2 * h], np.float32), np.ascontiguousarray(u[2 * h :])
+            side = slice(0, h) if k == "f" else slice(h, 2 * h)
+            ends = np.stack((q[side], net.out[side])).astype(np.float32)
+            s = np.zeros((h, n), np.float32)
+            a, v, rs = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
+            for i in range(WIDTH) if k == "f" else range(WIDTH - 1, -1, -1):
+                np.matmul(u1, s, out=a)
+                a += x[: 2 * h, i : i + n]
+                np.clip(a, 0, 1, out=a)
+                np.multiply(a[h:], s, out=rs)
+                np.matmul(u2, rs, out=v)
+                v += x[2 * h :, i : i + n]
+                np.clip(v, -1, 1, out=v)
+                v -= s
+                v *= a[:h]
+                s += v
+                e, g = ends @ s
+                if k == "f":
+                    weight[i], value[i] = e, g
+                else:
+                    weight[i] += e
+                    value[i] += g
+        weight = np.exp(weight - weight.max(axis=0))
+        return (weight * value).sum(axis=0) / weight.sum(axis=0) + net.bias
+
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probability of each text; texts of any length, about RUN windows in memory at a time."""
+        """Probability of each text; texts of any length, at most RUN windows in memory at a time."""
         net = self.net
         if net.constant:
             return np.zeros(len(texts))
@@ -311,19 +351,29 @@ class Scorer:
         tokens = [words_of(t) for t in texts]
         flat = self.numbers([w for t in tokens for w in t])
         lengths = np.array([len(t) for t in tokens])
-        starts = np.cumsum(lengths) - lengths
-        per = np.maximum(1, -(-(lengths - WIDTH + STRIDE) // STRIDE))
-        owner = np.repeat(np.arange(len(texts)), per)
-        within = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
         best = np.full(len(texts), -np.inf)
+        starts = np.cumsum(lengths) - lengths
         padded = np.append(flat, 0)
-        for at in range(0, len(owner), RUN):
-            o, w = owner[at : at + RUN], within[at : at + RUN]
-            place = w[:, None] + np.arange(WIDTH)
-            inside = place < lengths[o, None]
-            grid = padded[np.where(inside, starts[o, None] + place, len(flat))]
+        short = np.flatnonzero(lengths < WIDTH)  # one window each
+        for at in range(0, len(short), RUN):
+            o = short[at : at + RUN]
+            inside = np.arange(WIDTH) < lengths[o, None]
+            grid = padded[np.where(inside, starts[o, None] + np.arange(WIDTH), len(flat))]
             pooled = net.words.pooled((self.f[grid], self.b[grid]), (grid > 0).astype(np.float32))
-            np.maximum.at(best, o, pooled @ net.out + net.bias)
+            best[o] = pooled @ net.out + net.bias
+        own = lengths >= WIDTH
+        run = flat[np.repeat(own, lengths)]
+        owner = np.repeat(np.flatnonzero(own), lengths[own])
+        for at in range(0, len(run) - WIDTH + 1, SPAN):
+            part = run[at : at + SPAN + WIDTH - 1]
+            n = len(part) - WIDTH + 1
+            first, last = owner[at : at + n], owner[at + WIDTH - 1 : at + WIDTH - 1 + n]
+            logit = self.every(part)
+            whole = np.flatnonzero(first == last)  # the others reach into the next text
+            if len(whole):
+                first, logit = first[whole], logit[whole]
+                begin = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+                best[first[begin]] = np.maximum(best[first[begin]], np.maximum.reduceat(logit, begin))
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 

@@ -33,6 +33,22 @@ def test_network_learns_and_windows_cover():
     assert {x for win in toxicity.windows(w) for x in win} == set(w) and toxicity.windows([]) == [[]]
 
 
+def test_every_start_is_scored():
+    rng = np.random.default_rng(3)
+    net = toxicity.Network()
+    net.table[:] = rng.normal(0, 1, net.table.shape)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 7, 15, 16, 17, 23, 24, 40, 300, 3, 5000, 16)]
+    scorer = toxicity.Scorer(net)
+    got = scorer.score(texts)
+    for text, p in zip(texts, got, strict=True):
+        w = scorer.numbers(toxicity.words_of(text)).tolist()
+        grid = np.array([[*w[k : k + toxicity.WIDTH], *[0] * (toxicity.WIDTH - len(w))] for k in range(max(1, len(w) - toxicity.WIDTH + 1))])
+        pooled = net.words.pooled((scorer.f[grid], scorer.b[grid]), (grid > 0).astype(np.float32))
+        want = float((pooled @ net.out + net.bias).max())
+        assert abs(p - 1 / (1 + math.exp(-want))) < 1e-5
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     both = toxicity.Both(rng, 3, 2)
