@@ -11,7 +11,8 @@ word counts first, later the worst one under the model itself.
 
 Defined results: a null or empty text is one window of nothing and has that window's score; without labels of both
 kinds every score is 0; repeated rows give repeated results; null ids stay null and are never trained on; other
-columns of the input are ignored; texts are scored whole.
+columns of the input are ignored; texts are scored whole, and a run of more than LETTERS letters as the words that its
+overlapping pieces are.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import one_thread
 
-#: Words of a window, and from one to the next of those that training picks from; letters of a word that enter (its first and last ones, if longer).
-WIDTH, STRIDE, LETTERS = 16, 8, 14
+#: Words of a window, and from one to the next of those that training picks from; letters of a word (longer runs are several words)
+#: and from one piece of a longer run to the next.
+WIDTH, STRIDE, LETTERS, PIECE = 16, 8, 14, 7
 #: Hashed word table, sizes of vectors and states.
 TABLE, WORD_DIM, CHAR_DIM, CHAR_STATE, STATE = 1 << 14, 8, 8, 6, 8
 #: Documents by label that training takes at most, and windows of one document that it looks at.
@@ -43,13 +45,19 @@ _ALPHABET = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzäöüß
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower case; what stands between letters of one word (as in l.o.s.e.r) is not undone."""
-    return _WORDS.findall(text.lower())
+    """Runs of letters, lower case, long ones as overlapping pieces; what stands between letters of one word (as in l.o.s.e.r) is not undone."""
+    found = _WORDS.findall(text.lower())
+    if max(map(len, found), default=0) <= LETTERS:
+        return found
+    return [piece for w in found for piece in (pieces(w) if len(w) > LETTERS else (w,))]
+
+
+def pieces(run: str) -> list[str]:
+    """LETTERS letters from every PIECE-th on, and the last ones: every letter is in one, and eight in a row are in one together."""
+    return [run[at : at + LETTERS] for at in range(0, len(run) - LETTERS, PIECE)] + [run[-LETTERS:]]
 
 
 def letters_of(word: str) -> list[int]:
-    if len(word) > LETTERS:
-        word = word[: LETTERS - 5] + word[-5:]
     return [_ALPHABET.get(c, 1) for c in word] + [0] * (LETTERS - len(word))
 
 

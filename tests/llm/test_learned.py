@@ -49,6 +49,19 @@ def test_every_start_is_scored():
         assert abs(p - 1 / (1 + math.exp(-want))) < 1e-5
 
 
+def test_long_runs_are_read_whole():
+    for n in (15, 16, 21, 22, 28, 29, 300):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        parts = toxicity.words_of(f"a {run} b")[1:-1]
+        assert all(len(p) == toxicity.LETTERS for p in parts)
+        assert all(any(run[k : k + 8] in p for p in parts) for k in range(n - 7))
+    assert toxicity.words_of("fourteenletter") == ["fourteenletter"]
+    docs = [(f"{a}good{b}" * 2 if k % 2 else f"{a}idiot{b}" * 2, 1 - k % 2) for k in range(300) for a, b in [("people"[k % 3 :] + "nice", "person"[k % 4 :] + "other")]]
+    net = toxicity.Network().train(docs)
+    bad, good = toxicity.Scorer(net).score(["greenhousesidiotintherainyday", "greenhousesgoodintherainyday"])
+    assert bad > good + 0.1
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     both = toxicity.Both(rng, 3, 2)
