@@ -8,8 +8,8 @@ folder and memory-mapped by every worker that scores; nothing of the corpus or t
 the number of words in each part.
 
 The model interpolates absolute discounting with smoothed word frequencies:
-P(w | h) = max(c(h, w) - D, 0) / c(h) + g(h) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), pairs met once are left out and g(h)
-is what the others leave, so probabilities of a context add to one (but for the rounding of codes).
+P(w | h) = max(c(h, w) - D, 0) / c(h) + g(h) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), over pairs met least times or
+more (the query keeps all, least = 1), and g(h) is what these leave, so probabilities of a context add to one (but for the rounding of codes).
 
 Defined results: a null or empty text is its end token alone; without training texts every count is 0; rows without an
 id are scored, not learned from, and not held out; repeated rows count as often as they stand there; other columns are
@@ -252,7 +252,7 @@ class Pairs:
             try:
                 a = get(f"{self.folder}/pairs-{k}")
                 self.parts[k] = (EliasFano(a, "pointer"), EliasFano(a, "next"), a["code"], a["backoff"])
-            except FileNotFoundError:  # no pair of these contexts was met twice
+            except FileNotFoundError:  # no pair of these contexts is kept
                 self.parts[k] = None
         return self.parts[k]
 
@@ -299,8 +299,8 @@ class Model:
         self.vocabulary, self.pairs = vocabulary, pairs
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """A model of all rows of docs, its levels written to a new folder of the shared store."""
+def train(docs: DataFrame, text_col: str = "text", least: int = 2) -> Model:
+    """A model of all rows of docs and their pairs met least times or more, its levels written to a new folder of the shared store."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -346,7 +346,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     if start >= 1 << 31:
         raise ValueError("more words than ids of 31 bits")
-    paired = texts.mapInArrow(pair_up, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1")
+    paired = texts.mapInArrow(pair_up, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     paired.write.parquet(f"{folder}/paired")
     kept = spark.read.parquet(f"{folder}/paired")
     shares = max(1, -(-kept.count() // PART_PAIRS))
@@ -409,8 +409,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 5, out: int = 1, least: int = 2) -> DataFrame:
     """Trains on the texts whose fold isn't out and scores all; held_out tells the others."""
-    model = train(docs.where(fold("doc_id", folds) != out))
+    model = train(docs.where(fold("doc_id", folds) != out), least=least)
     held_out = F.coalesce(fold("doc_id", folds) == out, F.lit(False))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -58,7 +58,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram.score_held_out(table(spark, sf_dir, "documents"))
+    return ngram.score_held_out(table(spark, sf_dir, "documents"), least=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_licenses, op3_toxicity, op4_pii, op5_html_text, op6_neighbours, op7_bpe, op8_minhash, op9_packing, op10_ngram)}

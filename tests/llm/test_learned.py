@@ -206,3 +206,27 @@ def test_language_model(spark, make, sf_dir, odd_rows, empty, monkeypatch):
             gain = [gain[0] + b, gain[1] + r.score]
     assert gain[1] > gain[0]
     assert ngram.score_held_out(empty).count() == 0
+
+
+def test_query_keeps_pairs_met_once(spark, tmp_path):
+    from atomweave.llm.queries import op10_ngram
+
+    docs = [(i, f"common common only{i} once{i} common") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op10_ngram(spark, str(tmp_path)).collect()}
+    words = {i: ngram.words_of(t) for i, t in docs}
+    pairs, contexts, count = Counter(), Counter(), Counter()
+    for i, _ in docs:
+        if not got[i].held_out:
+            before = [None, *words[i][:-1]]
+            pairs.update(zip(before, words[i], strict=True))
+            contexts.update(before)
+            count.update(words[i])
+    total, kinds, followers = sum(count.values()), len(count), Counter(h for h, _ in pairs)
+    for i, _ in docs:
+        want = 0.0
+        for h, w in zip([None, *words[i][:-1]], words[i], strict=True):
+            own = max(pairs[h, w] - ngram.DISCOUNT, 0) / contexts[h] if contexts[h] else 0.0
+            rest = ngram.DISCOUNT * followers[h] / contexts[h] if contexts[h] else 1.0
+            want += math.log10(own + rest * (count[w] + 0.5) / (total + 0.5 * (kinds + 1)))
+        assert abs(got[i].score - want) <= 0.03 * len(words[i])
