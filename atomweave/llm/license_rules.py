@@ -120,12 +120,15 @@ _SOURCE = """
 3 public-domain domain :: (is|are) (hereby )?(placed|released|dedicated) (in|into|to) the public domain
 3 beerware beer :: you can buy me a beer in return
 3 json evil :: the software shall be used for good not evil
-3 proprietary confidential :: (this|these) (document|software|material|materials|file|work) (is|are|contains|contain) (proprietary|confidential)
+3 proprietary confidential :: (this|these) (document|software|material|materials|file|work) (is|are|contains|contain) confidential
+3 proprietary proprietary :: (this|these) (document|software|material|materials|file|work) (is|are|contains|contain) proprietary
 3 proprietary unauthorized :: unauthorized (copying|use|reproduction|distribution)( or [^ ]+){0,3} (of this [^ ]+ )?(via any medium )?is strictly prohibited
 3 proprietary reproduced :: no part of this [^ ]+ may be reproduced
-3 proprietary permission :: without (the )?(prior |express ){1,2}(written )?(permission|consent) of the (author|publisher|owner|copyright holder)
+3 proprietary permission :: without (the )?(prior |express ){1,2}(written )?permission of the (author|publisher|owner|copyright holder)
+3 proprietary consent :: without (the )?(prior |express ){1,2}(written )?consent of the (author|publisher|owner|copyright holder)
 3 eula you :: by (installing|downloading|using|opening) (this|the) (software|product|package) you (agree|accept)
-3 non-commercial noncommercial :: for (personal and )?(noncommercial|non commercial) use only
+3 non-commercial noncommercial :: for (personal and )?noncommercial use only
+3 non-commercial commercial :: for (personal and )?non commercial use only
 2 mit mit :: (released|licensed|distributed|available|provided|published) under (the )?(terms of (the )?)?mit license
 2 mit mit :: under the mit license
 2 apache-2.0 apache :: licensed under the apache license( version)? 2 0
@@ -144,7 +147,7 @@ _SOURCE = """
 2 gpl-2.0 gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl( v| version)? 2
 2 gpl-3.0 gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl( v| version)? 3
 2 gpl gpl :: (released|licensed|distributed|available) under (the )?(gnu )?gpl
-2 lgpl lesser :: under the terms of the gnu (lesser|library) general public license
+2 lgpl gnu :: under the terms of the gnu (lesser|library) general public license
 2 lgpl-2.1 lesser :: gnu lesser general public license( as published by the free software foundation either)? version 2 1
 2 lgpl-3.0 lesser :: gnu lesser general public license( as published by the free software foundation either)? version 3
 2 lgpl lgpl :: (released|licensed|distributed|available) under (the )?(gnu )?lgpl
@@ -157,11 +160,11 @@ _SOURCE = """
 2 eupl eupl :: licensed under the eupl
 2 cc0 cc0 :: (released|licensed|dedicated|available|published) (under|to) (the )?(creative commons )?cc0
 2 cc-by attribution :: creative commons attribution( [1-4] [05])?( international| unported| generic)? license
-2 cc-by-sa sharealike :: creative commons attribution (sharealike|share alike)( [1-4] [05])?( international| unported| generic)?( license)?
-2 cc-by-nc noncommercial :: creative commons attribution (noncommercial|non commercial)( [1-4] [05])?( international| unported| generic)?( license)?
-2 cc-by-nd noderivatives :: creative commons attribution (noderivatives|noderivs|no derivatives)( [1-4] [05])?( international| unported| generic)?( license)?
-2 cc-by-nc-sa noncommercial :: creative commons attribution (noncommercial|non commercial) (sharealike|share alike)( [1-4] [05])?
-2 cc-by-nc-nd noncommercial :: creative commons attribution (noncommercial|non commercial) (noderivatives|noderivs|no derivatives)( [1-4] [05])?
+2 cc-by-sa attribution :: creative commons attribution (sharealike|share alike)( [1-4] [05])?( international| unported| generic)?( license)?
+2 cc-by-nc attribution :: creative commons attribution (noncommercial|non commercial)( [1-4] [05])?( international| unported| generic)?( license)?
+2 cc-by-nd attribution :: creative commons attribution (noderivatives|noderivs|no derivatives)( [1-4] [05])?( international| unported| generic)?( license)?
+2 cc-by-nc-sa attribution :: creative commons attribution (noncommercial|non commercial) (sharealike|share alike)( [1-4] [05])?
+2 cc-by-nc-nd attribution :: creative commons attribution (noncommercial|non commercial) (noderivatives|noderivs|no derivatives)( [1-4] [05])?
 2 cc-by cc :: (released|licensed|distributed|available|published|shared) under (a |the )?(creative commons )?cc by
 2 cc creative :: (released|licensed|distributed|available|published|shared) under (a |the )?(terms of (a |the )?)?creative commons
 2 ofl-1.1 ofl :: (released|licensed|distributed|available) under (the )?(sil )?ofl

@@ -55,6 +55,28 @@ def test_keywords_gate_no_match_away():
         assert re.search(rf"(?<![a-z0-9]){re.escape(keyword)}(?![a-z0-9])", needed), pattern
 
 
+def spelled(pattern):
+    """A rule's texts without its options, one of each choice of alternatives."""
+    while re.search(r"\([^()]*\)(\?|\{0,\d+\})", pattern):
+        pattern = re.sub(r"\([^()]*\)(\?|\{0,\d+\})", "", pattern)
+    if not (group := re.search(r"\(([^()]*)\)(\{\d+,\d+\})?", pattern)):
+        return [pattern]
+    return [t for choice in group[1].split("|") for t in spelled(pattern[: group.start()] + choice + pattern[group.end() :])]
+
+
+def test_keywords_are_words_of_every_alternative(make):
+    for _, _, keyword, pattern in licenses.rules():
+        for text in spelled(pattern):
+            assert re.search(rf"(?<![a-z0-9]){re.escape(keyword)}(?![a-z0-9])", text), (keyword, text)
+    texts = {
+        "Creative Commons Attribution-NoDerivs 3.0": "cc-by-nd", "Creative Commons Attribution Non-Commercial 4.0": "cc-by-nc", "Creative Commons Attribution-Share Alike 3.0": "cc-by-sa",
+        "this software is proprietary": "proprietary", "this file is confidential": "proprietary", "without the prior written consent of the owner": "proprietary", "for non-commercial use only": "non-commercial",
+        "under the terms of the GNU Library General Public License": "lgpl",
+    }
+    for r, label in zip(licenses.digests(make(list(enumerate(texts)))).collect(), texts.values(), strict=True):
+        assert label in r.labels.split(","), (label, r)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
