@@ -33,6 +33,22 @@ class Kind:
     gate: str = ""
 
 
+#: Characters of an account number by its country.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Account numbers of the length that their country has; of 15 to 34 characters, up to the next one, where the country is not listed."""
+    listed = "|".join("|".join(c.split()) for c in IBAN.values())
+    known = "|".join(rf"(?:{'|'.join(c.split())})[0-9][0-9](?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN.items())
+    other = rf"(?!{listed})[A-Z][A-Z][0-9][0-9](?:(?:\x20(?!(?:{listed})[0-9][0-9]))?[A-Z0-9]){{11,30}}"
+    return rf"(?=[A-Z][A-Z][0-9][0-9])(?:(?<![A-Za-z0-9])|(?<=IBAN|Iban|iban))(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Base kinds in the order of the digest, then those that the method adds. Possessive forms match the same spans as
 #: the plain ones, in linear time: a local part is only tried where it begins or right after the last match.
@@ -41,7 +57,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|address|from", "."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, "card|visa|credit|pay|amex"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile|fax|sms", "+"),
-    Kind("iban", r"[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}", 0.8, "iban|account|bank|konto"),
+    Kind("iban", _iban(), 0.8, "iban|account|bank|konto"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.5, "ssn|social|security", "-"),
 )
 BASE = ("email", "ip", "card", "phone")

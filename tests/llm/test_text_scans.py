@@ -112,3 +112,12 @@ def test_pii_method(make):
     assert got[1].spans == "iban:0:27,ssn:32:43" and got[2].spans == "" and (got[3].n_sure, got[4].n_sure) == (1, 0)
     masked = {r.doc_id: r for r in pii.redact(df).collect()}
     assert masked[1].text == "[IBAN] and [SSN]" and masked[3].text == "card [CARD]" and masked[5].text is None and masked[1].spans == "z"
+
+
+def test_account_numbers_end_by_country(make):
+    texts = {
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": "iban:0:27", "GB82 WEST 1234 5698 7654 32 2024": "iban:0:27", "pay NO93 8601 1117 947 NOK": "iban:4:22", "IBANDE89370400440532013000.": "iban:4:26",
+        "xDE89370400440532013000": "", "DE89 3704 0044 0532 0130 001": "", "DE89 3704 0044 0532 0130 01 BIC": "", "REF ZZ12 3456 7890 1234 DE89 3704 0044 0532 0130 00 OK": "iban:24:51",
+    }
+    got = pii.scan(make(list(enumerate(texts)))).select("doc_id", pii.written(pii.F.col("iban")).alias("s")).collect()
+    assert [r.s for r in got] == list(texts.values())
