@@ -28,6 +28,10 @@ SILENT = frozenset("script style noscript template head title iframe object svg
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul br summary".split()
 )
+#: What an open head may hold; any other tag, or a text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements in which a tag may close itself.
+FOREIGN = frozenset("svg math".split())
 SECTION = frozenset("html body article aside div footer form header main nav section table ul ol dl".split())
 #: An opening tag of the key ends an open element of these, unless a table cell or list stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,7 +56,19 @@ class Dom(HTMLParser):
             if tag in BLOCK:
                 self.events.append((0, None))
 
+    def _end_head(self, body: bool = False) -> None:
+        """Pops an open head whose end tag was left out; by body also from inside one of its elements."""
+        for at in range(len(self.stack) - 1, 0, -1):
+            open_ = self.tag[self.stack[at]]
+            if open_ == "head":
+                self._pop_to(at)
+                return
+            if not body or open_ in ("body", "template", "svg"):
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag in BLOCK and tag != "br" and tag not in ("html", "body"):
             for at in range(len(self.stack) - 1, 0, -1):
                 open_ = self.tag[self.stack[at]]
@@ -81,6 +97,8 @@ class Dom(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(self.tag[i] in FOREIGN for i in self.stack):
+            self._pop_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.stack) - 1, 0, -1):
@@ -89,6 +107,8 @@ class Dom(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.silent:
             self.events.append((self.stack[-1], data))
 

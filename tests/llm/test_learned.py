@@ -135,6 +135,14 @@ def test_page_text(spark):
     assert html_text.extract(rows.where("false")).count() == 0
 
 
+def test_open_heads_and_closed_drawings_hide_no_text():
+    shown = lambda page: " ".join(t.strip() for _, t in html_text.Dom(page).events if t and t.strip())
+    assert shown("<html><head><title>T</title><meta charset=x><body><p>One two.</p>") == "One two."
+    assert shown("<head><title>T</title><style>p{}</style><p>One two.</p>") == "One two." and shown("<head><title>T</title>One <b>two.</b>") == "One two."
+    assert shown("<head><title>T</title><noscript><img><p>no</p></noscript><script>var x</script></head><body>One two.") == "One two."
+    assert shown('<div><svg viewBox="0 0 1 1"/>One <b>two.</b></div>') == "One two." and shown("<div><svg><path d='m'/><text>no</text></svg>One two.<div/>three</div>") == "One two. three"
+
+
 @pytest.mark.parametrize("n", [3, 700])
 def test_neighbours(spark, n):
     rng = np.random.default_rng(n)
