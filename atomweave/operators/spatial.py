@@ -88,12 +88,16 @@ def vdw_pairs(left: DataFrame, right: DataFrame, largest: float, epsilon: float
 def within(atoms: DataFrame, inner: DataFrame, cutoff: float, box=None, dims: Sequence[int] = (1, 1, 1), keys: Sequence[str] = (), include_self: bool = False, id_col: str = "atom_idx") -> DataFrame:
     """Atoms with an inner atom at most cutoff away (a semi-join). Inner atoms among them count as their own neighbours.
 
-    include_self: inner atoms that aren't among atoms are added.
+    include_self: inner atoms that aren't among atoms are added, once each; columns that inner lacks are null.
     """
+    own = inner.select(*[c for c in atoms.columns if c in inner.columns])
     inner = inner.select(*keys, id_col, "x", "y", "z")
     near = _meet(atoms, inner, float(cutoff), F.lit(float(cutoff)), box, dims, keys, "left_semi")
     near = near.select(*[F.col(c) if c in keys else F.col(f"a_{c}").alias(c) for c in atoms.columns])
-    return near
+    if not include_self:
+        return near
+    known = [*keys, id_col]
+    return near.unionByName(own.join(atoms.select(*known), known, "left_anti").dropDuplicates(known), allowMissingColumns=True)
 
 
 def neighbour_lists(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -69,3 +69,12 @@ def test_boxes(spark):
     p = g.wrap(g.vec(-0.3, 5.2, -7.0), g.box(BOXES["skewed"]))
     inside = spark.range(1).select(g.is_inside(p, g.box(BOXES["skewed"]))).first()[0]
     assert inside
+
+
+def test_within_adds_inner_atoms(spark):
+    schema = "frame_idx int, atom_idx int, name string, x double, y double, z double"
+    atoms = spark.createDataFrame([(0, 1, "a", 0.0, 0.0, 0.0), (0, 2, "b", 5.0, 0.0, 0.0), (1, 3, "c", 0.0, 0.0, 0.0)], schema)
+    inner = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0), (0, 9, 0.1, 0.0, 0.0), (0, 9, 0.1, 0.0, 0.0)], "frame_idx int, atom_idx int, x double, y double, z double")
+    got = spatial.within(atoms, inner, 0.3, keys=["frame_idx"], include_self=True)
+    assert got.columns == atoms.columns and sorted((r.frame_idx, r.atom_idx, r.name) for r in got.collect()) == [(0, 1, "a"), (0, 9, None)]
+    assert [r.atom_idx for r in spatial.within(atoms, inner, 0.3, keys=["frame_idx"]).collect()] == [1]
