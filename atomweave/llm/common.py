@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import glob
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors and the driver share.
 
-    Where the setting is missing (tests on one machine) it is set to a folder of this machine.
+    Where the setting is missing, a session of one machine (tests) gets a folder of that machine; a cluster's is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "atomweave-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,9 +52,23 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, a null text as the empty one."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+#: Rows and bytes of a batch that goes to or from a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get by bytes as well as by rows: texts may be long."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if int(re.sub(r"\D", "", spark.conf.get(name))) > most:
+            spark.conf.set(name, str(most))
+
+
+def give_back() -> None:
+    """Returns the memory that this process has freed to the machine: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def one_thread() -> None:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, give_back, shared_dir, small_batches
 from .graph import components
 
 #: Bands of a signature and places in each.
@@ -36,7 +36,7 @@ BANDS, ROWS = 32, 5
 #: Share of equal places from which step 3 verifies a pair, members of a block of it, classes that a broadcast may name.
 ALIKE, BLOCK, BROADCAST = 0.66, 256, 2_000_000
 #: Word hashes that a worker remembers.
-CACHE = 500_000
+CACHE = 200_000
 
 _U = np.uint64
 
@@ -141,7 +141,10 @@ def signed(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], schema=_SIGNED)
+        del words, last
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node long, bands array<long>, sig binary")
 
 
@@ -166,6 +169,8 @@ class Links:
                     s = shingle_set(text.as_py() or "", size, words)
                     if len(s):
                         yield pa.RecordBatch.from_arrays([pa.array([set_hash(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["node", "elements"])
+            del words
+            give_back()
 
         made = texts.mapInArrow(run, "node long, elements binary")
         return made.groupBy("node").agg(F.first("elements").alias("elements"))

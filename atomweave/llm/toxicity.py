@@ -5,9 +5,10 @@ its letters; a bidirectional word network with attention pools a window of words
 scored over all of its overlapping windows, one from every word that WIDTH words begin with; its score is that of its
 worst window. Gates are piecewise linear, so a step is a few multiply-adds, and windows of many texts run as one batch.
 
-Training takes a bounded sample of labelled documents (SAMPLE by label, the smallest hashes, drawn in the engine) to
-the driver. A label is of the whole document, so windows are chosen in turns: those that tell the labels apart by
-word counts first, later the worst one under the model itself.
+Training takes a bounded sample of labelled documents (SAMPLE by label, the smallest hashes, drawn in the engine; of
+these, the ones of up to SAMPLE_CHARS characters) to the driver, and looks at all windows of each. A label is of the
+whole document, so windows are chosen in turns: those that tell the labels apart by word counts first, later the worst
+one under the model itself.
 
 Defined results: a null or empty text is one window of nothing and has that window's score; without labels of both
 kinds every score is 0; repeated rows give repeated results; null ids stay null and are never trained on; other
@@ -27,22 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_thread
+from .common import give_back, one_thread, small_batches
 
 #: Words of a window, and from one to the next of those that training picks from; letters of a word (longer runs are several words)
 #: and from one piece of a longer run to the next.
 WIDTH, STRIDE, LETTERS, PIECE = 16, 8, 14, 7
 #: Hashed word table, sizes of vectors and states.
 TABLE, WORD_DIM, CHAR_DIM, CHAR_STATE, STATE = 1 << 14, 8, 8, 6, 8
-#: Documents by label that training takes at most, and windows of one document that it looks at.
-SAMPLE, WINDOWS = {1: 1000, 0: 2000}, 60
+#: Documents by label that training takes at most, and characters of one of them.
+SAMPLE, SAMPLE_CHARS = {1: 1000, 0: 2000}, 200_000
 EPOCHS, BATCH, RATE = 10, 128, 0.015
-#: Windows of a batch when texts are scored (short texts; neighbours of a run of words); words that a worker remembers.
-RUN, SPAN, CACHE = 4096, 2048, 300_000
+#: Windows of a batch when texts are scored (short texts; neighbours of a run of words); words that a worker remembers
+#: (about 400 bytes each), words that are scored at once, characters of a long text that are split into words at once.
+RUN, SPAN, CACHE, WORDS, CHARS = 4096, 2048, 80_000, 40_000, 200_000
 
-_WORDS = re.compile(r"[^\W\d_]+", re.UNICODE)
+_WORDS, _GAP = re.compile(r"[^\W\d_]+", re.UNICODE), re.compile(r"\s")
 _ALPHABET = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzäöüßéèêëàâçîïôûùñíóáú'")}
 
+_NUMBER = np.ones(max(map(ord, _ALPHABET)) + 2, np.int16)
+_NUMBER[[ord(c) for c in _ALPHABET]] = list(_ALPHABET.values())
+_NUMBER[0] = 0
+
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower case, long ones as overlapping pieces; what stands between letters of one word (as in l.o.s.e.r) is not undone."""
@@ -57,8 +63,11 @@ def pieces(run: str) -> list[str]:
     return [run[at : at + LETTERS] for at in range(0, len(run) - LETTERS, PIECE)] + [run[-LETTERS:]]
 
 
-def letters_of(word: str) -> list[int]:
-    return [_ALPHABET.get(c, 1) for c in word] + [0] * (LETTERS - len(word))
+def letters_of(words: list[str]) -> np.ndarray:
+    """A row of LETTERS letter numbers for each word: 0 after its end, 1 for letters outside the alphabet."""
+    raw = "".join([w.ljust(LETTERS, "\0") for w in words]).encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(raw, "<u4").reshape(-1, LETTERS)
+    return _NUMBER[np.minimum(codes, len(_NUMBER) - 1)]
 
 
 def slot_of(word: str) -> int:
@@ -190,9 +199,45 @@ class Network:
         """Of distinct words: table row beside the pooled character states."""
         out = np.empty((len(slots), WORD_DIM + 2 * CHAR_STATE), np.float32)
         for at in range(0, len(slots), RUN):
-            part = letters[at : at + RUN]
             out[at : at + RUN, :WORD_DIM] = self.table[slots[at : at + RUN]]
-            out[at : at + RUN, WORD_DIM:] = self.chars.pooled(self.chars.gates(self.letters[part]), (part > 0).astype(np.float32))
+            out[at : at + RUN, WORD_DIM:] = self.spelled(letters[at : at + RUN])
+        return out
+
+    def spelled(self, letters: np.ndarray) -> np.ndarray:
+        """What chars.pooled makes of words of letters, one word a column, the longest first: a step takes those that have its letter."""
+        h, n = CHAR_STATE, len(letters)
+        length = (letters > 0).sum(axis=1)
+        order = np.argsort(-length, kind="stable")
+        columns = np.ascontiguousarray(letters[order].T)
+        having = [int(k) for k in (length[:, None] > np.arange(LETTERS)).sum(axis=0)]
+        states, weight = np.zeros((LETTERS, 2 * h, n), np.float32), np.full((LETTERS, n), -np.inf, np.float32)
+        q = self.chars.parts["a"].p["q"]
+        for k, side in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            p = self.chars.parts[k].p
+            gates = (self.letters @ p["W"] + p["b"]).T.astype(np.float32)  # of every letter
+            gates[: 2 * h] = 0.25 * gates[: 2 * h] + 0.5
+            u1, u2 = np.ascontiguousarray(0.25 * p["U"][:, : 2 * h].T, np.float32), np.ascontiguousarray(p["U"][:, 2 * h :].T, np.float32)
+            s = np.zeros((h, n), np.float32)
+            for i in range(LETTERS) if k == "f" else range(LETTERS - 1, -1, -1):
+                if m := having[i]:
+                    x, now = gates[:, columns[i, :m]], s[:, :m]
+                    a = u1 @ now
+                    a += x[: 2 * h]
+                    np.clip(a, 0, 1, out=a)
+                    v = u2 @ (a[h:] * now)
+                    v += x[2 * h :]
+                    np.clip(v, -1, 1, out=v)
+                    v -= now
+                    v *= a[:h]
+                    now += v
+                    states[i, side, :m] = now
+        for i, m in enumerate(having):
+            weight[i, :m] = q @ states[i, :, :m]
+        weight -= np.maximum(weight.max(axis=0), -1e30)
+        np.exp(weight, out=weight)
+        weight /= np.maximum(weight.sum(axis=0), 1e-9)
+        out = np.empty((n, 2 * h), np.float32)
+        out[order] = (weight[:, None] * states).sum(axis=0).T
         return out
 
     def train(self, docs: list[tuple[str, int]], seed: int = 2) -> Network:
@@ -213,15 +258,12 @@ class Network:
         first, guess = [0], []
         for w in tokens:
             own = windows(w)
-            if len(own) > WINDOWS:  # of a very long document, the ones that words tell most about and some at random
-                best = sorted(range(len(own)), key=lambda k: -max((odds.get(x, 0) for x in own[k]), default=0))[: WINDOWS // 2]
-                own = [own[k] for k in sorted({*best, *rng.choice(len(own), WINDOWS // 2, replace=False).tolist()})]
             guess.append(max(range(len(own)), key=lambda k: max((odds.get(x, 0) for x in own[k]), default=0)))
             parts.append(np.array([[ids.setdefault(x, len(ids) + 1) for x in win] + [0] * (WIDTH - len(win)) for win in own], np.int32))
             first.append(first[-1] + len(own))
         grid, first = np.concatenate(parts), np.array(first)
         del tokens, parts
-        letters = np.array([[0] * LETTERS] + [letters_of(w) for w in ids], np.int16)
+        letters = letters_of(["", *ids])
         slots = np.array([0] + [slot_of(w) for w in ids], np.int32)
         labels = np.array([y for _, y in docs], np.float32)
         state: dict = {}
@@ -309,7 +351,7 @@ class Scorer:
         if new:
             for w in new:
                 ids[w] = len(ids) + 1
-            f, b = self.net.words.gates(self.net.vectors(np.array([letters_of(w) for w in new], np.int16), np.array([slot_of(w) for w in new], np.int32)))
+            f, b = self.net.words.gates(self.net.vectors(letters_of(new), np.array([slot_of(w) for w in new], np.int32)))
             self._room(len(ids) + 1)
             self.f[len(ids) + 1 - len(new) : len(ids) + 1], self.b[len(ids) + 1 - len(new) : len(ids) + 1] = f, b
         return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
@@ -350,16 +392,32 @@ class Scorer:
         return (weight * value).sum(axis=0) / weight.sum(axis=0) + net.bias
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probability of each text; texts of any length, at most RUN windows in memory at a time."""
+        """Probability of each text; texts of any length, about WORDS words in memory at a time."""
         net = self.net
         if net.constant:
             return np.zeros(len(texts))
+        best = np.full(len(texts), -np.inf)
+        held, n = [], 0
+        for k, text in enumerate(texts):
+            for words in spans(text):
+                held.append((k, words))
+                n += len(words)
+                if n >= WORDS:
+                    self._raise(best, held)
+                    held, n = [], 0
+        self._raise(best, held)
+        return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+
+    def _raise(self, best: np.ndarray, held: list[tuple[int, list[str]]]) -> None:
+        """Lifts best[k] to the logits of the windows of words, for each (k, words)."""
+        if not held:
+            return
         if len(self.ids) > CACHE:
             self.clear()
-        tokens = [words_of(t) for t in texts]
-        flat = self.numbers([w for t in tokens for w in t])
-        lengths = np.array([len(t) for t in tokens])
-        best = np.full(len(texts), -np.inf)
+        net = self.net
+        flat = self.numbers([w for _, words in held for w in words])
+        lengths = np.array([len(words) for _, words in held])
+        text = np.array([k for k, _ in held])
         starts = np.cumsum(lengths) - lengths
         padded = np.append(flat, 0)
         short = np.flatnonzero(lengths < WIDTH)  # one window each
@@ -368,7 +426,7 @@ class Scorer:
             inside = np.arange(WIDTH) < lengths[o, None]
             grid = padded[np.where(inside, starts[o, None] + np.arange(WIDTH), len(flat))]
             pooled = net.words.pooled((self.f[grid], self.b[grid]), (grid > 0).astype(np.float32))
-            best[o] = pooled @ net.out + net.bias
+            np.maximum.at(best, text[o], pooled @ net.out + net.bias)
         own = lengths >= WIDTH
         run = flat[np.repeat(own, lengths)]
         owner = np.repeat(np.flatnonzero(own), lengths[own])
@@ -381,8 +439,37 @@ class Scorer:
             if len(whole):
                 first, logit = first[whole], logit[whole]
                 begin = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-                best[first[begin]] = np.maximum(best[first[begin]], np.maximum.reduceat(logit, begin))
-        return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+                np.maximum.at(best, text[first[begin]], np.maximum.reduceat(logit, begin))
+
+
+def spans(text: str) -> Iterator[list[str]]:
+    """The words of a text, a long one's in parts of about WORDS that share all but one word of a window, so that every window is in one."""
+    kept: list[str] = []
+    for part in slices(text):
+        words = kept + words_of(part)
+        at = 0
+        while len(words) - at > WORDS + WIDTH:
+            yield words[at : at + WORDS]
+            at += WORDS - WIDTH + 1
+        if part is not text:  # more may follow
+            kept = words[at:]
+        else:
+            yield words[at:]
+            return
+    yield kept
+
+
+def slices(text: str) -> Iterator[str]:
+    """A long text in parts of CHARS characters and on to the next white space; a shorter one as it is."""
+    if len(text) <= CHARS:
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, min(len(text), at + CHARS))
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 def fold(id_col: str, folds: int):
@@ -401,37 +488,47 @@ def train(docs: DataFrame, labels: DataFrame, where=None, sample: dict[int, int]
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(draw, "doc_id").limit(sample[y])
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").collect()  # the sampled ids are broadcast
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     return Network().train([(r["text"], r["y"]) for r in rows])
 
 
+def _scored(model, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with the scores of their column number at; what a worker remembers ends with its task."""
+    scorer = Scorer(model.value)
+    for b in batches:
+        for start in range(0, len(b), 128):
+            part = b.slice(start, 128)
+            yield part, scorer.score([t or "" for t in part.column(at).to_pylist()])
+    del scorer
+    give_back()
+
+
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every whole text."""
     model = docs.sparkSession.sparkContext.broadcast(net)  # of a fixed size: TABLE and the states
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
-        for b in batches:
-            for at in range(0, len(b), 128):
-                part = b.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.score([t or "" for t in part.column(1).to_pylist()]), pa.float64())], names=["doc_id", "score"])
+        for part, found in _scored(model, batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, net: Network, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below the threshold, all columns as they were."""
+    """The rows of docs whose text scores below the threshold, all columns as they were.
+
+    Null and empty texts have the score of an empty window, repeated rows go or stay together, null ids and columns of
+    other names pass through, an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(net)
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
-        for b in batches:
-            for start in range(0, len(b), 128):
-                part = b.slice(start, 128)
-                good = scorer.score([t or "" for t in part.column(at).to_pylist()]) < threshold
-                yield part.filter(pa.array(good))
+        for part, found in _scored(model, batches, at):
+            yield part.filter(pa.array(found < threshold))
 
     return docs.mapInArrow(run, docs.schema)
