@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -64,6 +65,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
+        self.mark = os.path.commonprefix(list(self.special))
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
@@ -180,7 +182,7 @@ class WordBpe:
 
     def _all(self, text: str) -> list[tuple[str, str]]:
         """As _plain for a whole text; strings of special tokens give their ids."""
-        if "<|" not in text:
+        if self.mark not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):

@@ -16,6 +16,7 @@ their own; null ids of documents stay null; an empty table gives no rows; other
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -27,12 +28,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import cut, shared_dir
+from .common import cut, give_back, shared_dir, small_batches
 
 #: Tokens of a class of lengths; pieces that share a salted part of a class, about.
 WIDTH, PART = 16, 50_000
 #: Segments that a worker's cache holds before it starts anew, and the longest that goes into it.
-CACHE, CACHED_LENGTH = 400_000, 64
+CACHE, CACHED_LENGTH = 100_000, 64
+#: Texts of more characters are looked through for runs of white space of so many; the pattern's engine recurses on them.
+LONG, RUN = 5000, 1000
+#: Unicode's White_Space, as the pattern's \\s.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -61,7 +66,8 @@ class ByteBpe:
     """Ids of a byte-level tokenizer file, as little-endian unsigned 32-bit integers.
 
     Single spaces between other characters always begin a token of the file's pattern, so segments between them
-    are encoded apart and kept; a text in which spaces touch other white space is encoded at once.
+    are encoded apart and kept; a text in which spaces touch other white space is encoded at once. A long run of white
+    space is cut out first: it is one piece of the pattern, but for its last character where something follows.
     """
 
     def __init__(self, path: str):
@@ -76,9 +82,22 @@ class ByteBpe:
         encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.plain = encoding.encode_ordinary
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.segments = _Segments(encoding._core_bpe)
+        self.mark = os.path.commonprefix(list(self.special))
+        self.core = encoding._core_bpe
+        self.segments = _Segments(self.core)
 
     def _part(self, text: str) -> bytes:
+        if len(text) <= LONG:
+            return self._short(text)
+        out, at = [], 0
+        for m in _BLANKS.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            if end - m.start() >= RUN:
+                out += [self._short(text[at : m.start()]), _bytes(self.core.encode_single_piece(text[m.start() : end].encode()))]
+                at = end
+        return b"".join([*out, self._short(text[at:])])
+
+    def _short(self, text: str) -> bytes:
         if len(self.segments) > CACHE:
             self.segments.clear()
         first, *rest = text.split(" ")
@@ -89,7 +108,7 @@ class ByteBpe:
         return _bytes(self.plain(text))
 
     def encode(self, text: str) -> bytes:
-        if "<|" not in text:
+        if self.mark not in text:
             return self._part(text)
         return b"".join(_bytes([self.special[p]]) if p in self.special else self._part(p) for p in self.split.split(text) if p)
 
@@ -118,7 +137,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id
                     for column, x in zip(rows, (i, at, len(part) // 4, zlib.crc32(part), n), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        bpe.segments.clear()  # what a worker remembers ends with its task
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

@@ -61,6 +61,16 @@ def test_byte_bpe(texts):
         assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids, (t or "")[:80]
 
 
+def test_long_runs_of_white_space():
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib, own = tokenizers.Tokenizer.from_file(path), packing.ByteBpe(path)
+    for run in (" ", "\n", "\t ", " \n", "\u3000", "\x1c", " " * 999 + "\n"):
+        for text in (run * 6000, f"a{run * 6000}b", f"{run * 6000} b", f"a{run * 3000}\nb{run * 3000}<|endoftext|>{run * 6000}"):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, (run[-2:], text[-3:])
+    for text in (" " * 5_000_000 + "x", "\n" * 5_000_000, "z" * 5_000_000):
+        assert len(own.encode(text)) > 0
+
+
 def test_patterns():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 129, 3000)
