@@ -9,10 +9,11 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z only; other letters stay as they are.
@@ -71,6 +72,38 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Items that a fold takes as one part.
+PART = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: a column named in a lambda is otherwise evaluated at each of its calls."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """An array of kind (DDL): what step(state, item) -> (state, array) adds item by item.
+
+    Items are taken in parts of PART and the parts' arrays are joined at the end, as an array that grows item by item
+    would be copied at each.
+    """
+    none, nones = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        now, more = step(acc["state"], x)
+        return F.struct(now.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def every(bound: Column) -> Column:
+        def part(acc: Column, k: Column) -> Column:
+            done = F.aggregate(F.slice(bound, k * PART + 1, F.lit(PART)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+            return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        parts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(bound), F.lit(1)) - 1) / PART).cast("int"))
+        return F.aggregate(parts, F.struct(state.alias("state"), nones.alias("out")), part, lambda acc: F.flatten(acc["out"]))
+
+    return let(items, every)
+
+
 def one_thread() -> None:
     """Makes this process's matrix library use one thread: Python workers share an executor's cores as they are."""
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, fold, let
 from .license_rules import rules
 
 #: Words of a text, after A-Z have become a-z.
@@ -23,7 +23,8 @@ PHRASES = (("cc-by", "cc", "cc by"), ("gpl", "general", "general public license"
 SCORES = {1: 0.6, 2: 0.8, 3: 0.9, 4: 1.0}
 TIERS = tuple(SCORES)
 
-_FOUND = "array<struct<first bigint, last bigint, tier int, rule int, label string>>"
+_ONE = "struct<first bigint, last bigint, tier int, rule int, label string>"
+_FOUND = f"array<{_ONE}>"
 
 
 def _spaces(s: Column) -> Column:
@@ -33,16 +34,15 @@ def _spaces(s: Column) -> Column:
 def _places(joined: Column, rule: Column) -> Column:
     """Where a rule's pattern matches, in words; joined has one space before, between and after the words."""
     bordered = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    parts = F.arrays_zip(F.split(joined, bordered, -1).alias("0"), F.regexp_extract_all(joined, bordered, F.lit(0)).alias("1"))
-    zero = F.struct(F.lit(-1).cast("long").alias("at"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
+    found = F.regexp_extract_all(joined, bordered, F.lit(0))
+    pairs = let(F.split(joined, bordered, -1), lambda between: F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("before"), m.alias("m"))))
 
-    def step(acc: Column, p: Column) -> Column:
-        first = acc["at"] + _spaces(p["0"])
-        last = first + _spaces(p["1"])
-        here = F.struct(first.alias("first"), last.alias("last"), rule["tier"].alias("tier"), rule["rule"].alias("rule"), rule["label"].alias("label"))
-        return F.when(p["1"].isNull(), acc).otherwise(F.struct(last.alias("at"), F.concat(acc["out"], F.array(here)).alias("out")))
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        first = at + _spaces(p["before"])
+        last = first + _spaces(p["m"])
+        return last, F.array(F.struct(first.alias("first"), last.alias("last"), rule["tier"].alias("tier"), rule["rule"].alias("rule"), rule["label"].alias("label")))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    return fold(pairs, F.lit(-1).cast("long"), _ONE, step)
 
 
 def _table() -> list[tuple[int, int, str, str, str]]:
@@ -54,18 +54,18 @@ def _table() -> list[tuple[int, int, str, str, str]]:
 def resolve(found: Column) -> Column:
     """Without the detections that one of a higher tier, or a longer or earlier one of the same tier, contains."""
     ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("till"), (-d["tier"]).alias("rank"), d["rule"].alias("rule"), d["label"].alias("label"))))
-    zero = F.struct(*[F.lit(-1).cast("long").alias(f"t{t}") for t in TIERS], F.expr(f"cast(array() as {_FOUND})").alias("out"))
+    none = F.expr(f"cast(array() as {_FOUND})")
 
-    def step(acc: Column, d: Column) -> Column:
+    def step(reach: Column, d: Column) -> tuple[Column, Column]:
         last, tier = -d["till"], -d["rank"]
         covered = F.lit(False)
         for t in TIERS:
-            covered = covered | ((tier <= t) & (acc[f"t{t}"] >= last))
+            covered = covered | ((tier <= t) & (reach[f"t{t}"] >= last))
         here = F.struct(d["first"].alias("first"), last.alias("last"), tier.cast("int").alias("tier"), d["rule"].alias("rule"), d["label"].alias("label"))
-        reach = [F.when(tier == t, F.greatest(acc[f"t{t}"], last)).otherwise(acc[f"t{t}"]).alias(f"t{t}") for t in TIERS]
-        return F.struct(*reach, F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(here))).alias("out"))
+        now = F.struct(*[F.when(tier == t, F.greatest(reach[f"t{t}"], last)).otherwise(reach[f"t{t}"]).alias(f"t{t}") for t in TIERS])
+        return now, F.when(covered, none).otherwise(F.array(here))
 
-    return F.aggregate(ordered, zero, step, lambda acc: acc["out"])
+    return fold(ordered, F.struct(*[F.lit(-1).cast("long").alias(f"t{t}") for t in TIERS]), _ONE, step)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
