@@ -15,12 +15,15 @@ from .sources import files
 
 @dataclass(frozen=True)
 class System:
-    """Topology (atoms, bonds) and state (coords by frame). Changes give new systems."""
+    """Topology (atoms, bonds) and state (coords by frame). Changes give new systems.
+
+    box: nine numbers, or the name of the column of coords that holds them frame by frame.
+    """
 
     atoms: DataFrame
     coords: DataFrame
     bonds: DataFrame | None = None
-    box: Sequence[float] | None = None
+    box: Sequence[float] | str | None = None
     keys: tuple[str, ...] = ("frame_idx",)
 
     @classmethod
@@ -28,8 +31,12 @@ class System:
         """Topology from path, coordinates from it or from a trajectory file."""
         atoms, bonds = files.read(spark, path, "atoms"), files.read(spark, path, "bonds")
         coords = files.read(spark, trajectory or path, "coords")
-        first = files.read(spark, trajectory or path, "frames").orderBy("frame_idx").select("box").first()
-        return cls(atoms.drop("path", "mol_idx"), coords.drop("path", "mol_idx"), bonds.drop("path", "mol_idx"), first["box"] if first else None)
+        frames = files.read(spark, trajectory or path, "frames").select("frame_idx", "box")
+        boxes = frames.select("box").distinct().limit(2).collect()
+        box = boxes[0]["box"] if boxes else None
+        if len(boxes) > 1:  # it changes: every row has its frame's
+            coords, box = coords.join(frames, "frame_idx", "left"), "box"
+        return cls(atoms.drop("path", "mol_idx"), coords.drop("path", "mol_idx"), bonds.drop("path", "mol_idx"), box)
 
     def table(self) -> DataFrame:
         """Atoms joined with the coordinates of every frame."""

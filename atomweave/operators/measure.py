@@ -194,6 +194,11 @@ def histogram(df: DataFrame, value: str | Column, low: float, high: float, bins:
     return out
 
 
+def counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """n_atoms, n_residues and n_chains of the atoms."""
+    return _grouped(df, keys, F.count(F.lit(1)).alias("n_atoms"), F.count_distinct("resid").alias("n_residues"), F.count_distinct("chain").alias("n_chains"))
+
+
 def total_charge(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _grouped(df, keys, F.sum(F.coalesce(F.col("formal_charge"), F.lit(0))).cast("double").alias("total_charge"))
 

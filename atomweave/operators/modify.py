@@ -52,10 +52,32 @@ def set_same(df: DataFrame, selected: DataFrame | Column, keys: Sequence[str] =
     return met.withColumns({c: F.when(F.col("_own"), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}).select(*df.columns)
 
 
+#: Atoms that are numbered in one task, about.
+BUCKET = 1 << 16
+
+
 def reindex(df: DataFrame, order: Sequence[str] = ("atom_idx",), keys: Sequence[str] = ()) -> DataFrame:
-    """atom_idx from 0 without gaps; the old one as old_idx."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn("old_idx", F.col("atom_idx")).withColumn("atom_idx", (F.row_number().over(w) - 1).cast("long"))
+    """atom_idx from 0 without gaps; the old one as old_idx.
+
+    order holds atom_idx. Rows are numbered within buckets of atom_idx (and of what comes before it in order), the
+    numbers before a bucket come from one row a bucket.
+    """
+    parts = [f"_o{i}" for i in range(order.index("atom_idx") + 1)]
+    dealt = df.withColumns({p: F.floor(F.col(c) / BUCKET) if c == "atom_idx" else F.col(c) for p, c in zip(parts, order, strict=False)})
+    counts = dealt.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias(f"_b{c}") for c in (*keys, *parts)], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    met = dealt.join(before, _same([*keys, *parts]))
+    within = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order))
+    numbered = met.withColumn("_row", within).withColumn("old_idx", F.col("atom_idx")).withColumn("atom_idx", (F.col("_before") + F.col("_row") - 1).cast("long"))
+    return numbered.select(*[c for c in df.columns if c != "old_idx"], "old_idx")
+
+
+def _same(columns: Sequence[str]) -> Column:
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).eqNullSafe(F.col(f"_b{c}"))
+    return ok
 
 
 def append(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -104,3 +104,10 @@ def neighbour_lists(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, atom, neighbours (sorted) from pairs, both ways."""
     both = found.select(*keys, F.col("i").alias("atom"), F.col("j").alias("other")).union(found.select(*keys, F.col("j"), F.col("i")))
     return both.groupBy(*keys, "atom").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+
+
+def neighbour_mean(df: DataFrame, pairs: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, n and the mean of columns over the n neighbours that pairs (i, j, each once) give to i."""
+    both = pairs.select(*keys, "i", "j").union(pairs.select(*keys, "j", "i"))
+    met = both.join(df.select(*keys, F.col("atom_idx").alias("j"), *columns), [*keys, "j"])
+    return met.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])

@@ -120,7 +120,8 @@ def sub_selection(spark, sf_dir):
 
 @query(f"{ATOMS_SQL} select resindex, min(resid) as resid, count(*) as n_atoms from atoms group by resindex")
 def resindex(spark, sf_dir):
-    return atoms(spark, sf_dir).groupBy("resindex").agg(F.min("resid").alias("resid"), F.count(F.lit(1)).alias("n_atoms"))
+    numbered = sequence.assign_resindex(atoms(spark, sf_dir).drop("resindex"))
+    return numbered.groupBy("resindex").agg(F.min("resid").alias("resid"), F.count(F.lit(1)).alias("n_atoms"))
 
 
 _RUNS = """, marked as (select *, case when lag({value}) over (partition by {part} order by {order}) = {value} then 0 else 1 end as s from {source}),
@@ -327,7 +328,7 @@ def cov_matrix(spark, sf_dir):
     return k.select(*[F.round(c, 5).alias(c) for c in ("kxx", "kxy", "kyx", "kzz")])
 
 
-@query()
+@query(f"{POINTS_SQL} select distinct grp, cast(0 as double) as rmsd from pts")
 def kabsch_fit(spark, sf_dir):
     a = points(spark, sf_dir)
     moved = modify.translate(modify.rotate(a, (1, 2, 3), 40.0), (1.0, -2.0, 0.5))
@@ -335,11 +336,11 @@ def kabsch_fit(spark, sf_dir):
     return measure.rmsd(fitted, moved, ["grp"]).select("grp", r6("rmsd"))
 
 
-@query()
+@query(f"{POINTS_SQL} select distinct grp, cast(0 as double) as ixy, cast(0 as double) as ixz, cast(0 as double) as iyz from pts")
 def principal_axes(spark, sf_dir):
     a = points(spark, sf_dir)
     laid = modify.transform(a, measure.principal_transform(a, ["grp"]), ["grp"])
-    return measure.inertia_tensor(laid, ["grp"]).select("grp", *[F.round(c, 5).alias(c) for c in ("ixy", "ixz", "iyz")])
+    return measure.inertia_tensor(laid, ["grp"]).select("grp", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("ixy", "ixz", "iyz")])
 
 
 @query(f"{ATOMS_SQL} select chain, count(x) as n, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std from atoms group by chain")
@@ -360,7 +361,7 @@ def histogram(spark, sf_dir):
 
 @query(f"{ATOMS_SQL} select count(*) as n_atoms, count(distinct resid) as n_residues, count(distinct chain) as n_chains from atoms")
 def counts(spark, sf_dir):
-    return atoms(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_atoms"), F.count_distinct("resid").alias("n_residues"), F.count_distinct("chain").alias("n_chains"))
+    return measure.counts(atoms(spark, sf_dir))
 
 
 # -- changes ----------------------------------------------------------------------------------------------------
@@ -460,9 +461,8 @@ def frames_concat(spark, sf_dir):
 @query(f"{FRAMES_SQL} select frame_idx, grp from frames where frame_idx = (select min(frame_idx) from frames where time >= (select min(time) + 1000000 from frames))")
 def frames_seek_time(spark, sf_dir):
     f = frames(spark, sf_dir)
-    start = f.agg((F.min("time") + 1000000).alias("_t"))
-    at = f.crossJoin(F.broadcast(start)).where("time >= _t").agg(F.min("frame_idx").alias("frame_idx"))
-    return f.join(F.broadcast(at), "frame_idx", "left_semi").select("frame_idx", "grp")
+    start = f.agg((F.min("time") + 1000000).alias("t")).first()["t"]
+    return task.seek_time(f, start).select("frame_idx", "grp")
 
 
 @query(f"{FRAMES_SQL} select cast(frame_idx // 100 as bigint) as block, count(*) as n, round(avg(x), 6) as mean from frames group by 1")
@@ -522,6 +522,4 @@ def rings(spark, sf_dir):
 @query(f"{POINTS_SQL}, e as (select a.atom_idx as i, b.x as x from pts a, pts b where a.atom_idx <> b.atom_idx and {_D} <= 0.1) select i, count(*) as n, round(avg(x), 6) as mean_x from e group by i")
 def neighbour_avg(spark, sf_dir):
     p = points(spark, sf_dir)
-    pairs = spatial.self_pairs(p, 0.1)
-    both = pairs.select("i", "j").union(pairs.select("j", "i"))
-    return both.join(p.select(F.col("atom_idx").alias("j"), "x"), "j").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_x"))
+    return spatial.neighbour_mean(p, spatial.self_pairs(p, 0.1), ["x"]).select("i", "n", r6("x", "mean_x"))

@@ -1,8 +1,9 @@
-"""Binary trajectories: TRR, DCD and AMBER NetCDF (classic). Lengths become nm, times ps."""
+"""Binary trajectories: TRR, XTC, DCD and AMBER NetCDF (classic). Lengths become nm, times ps."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -66,6 +67,140 @@ def write_trr(frames: list[Frame], first_step: int = 0) -> bytes:
     return b"".join(out)
 
 
+# -- XTC: coordinates as packed integers ----------------------------------------------------------------------------
+
+_XTC_MAGIC, _XTC_LONG, _FIRST_SMALL = 1995, 2023, 9
+# Ranges that small differences are packed in, floor(2 ** (i / 3)) but for three entries.
+_RANGES = [0] * _FIRST_SMALL + [{37: 5060, 57: 524287, 69: 8388607}.get(i, int(2 ** (i // 3) * (1, 2 ** (1 / 3), 4 ** (1 / 3))[i % 3])) for i in range(_FIRST_SMALL, 73)]
+
+
+class _Bits:
+    """Numbers from a stream of bits, the highest first."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, n: int) -> int:
+        first, last = self.at >> 3, (self.at + n + 7) >> 3
+        self.at += n
+        if last > len(self.data):
+            raise FormatError("an XTC frame is cut short")
+        return (int.from_bytes(self.data[first:last], "big") >> (8 * last - self.at)) & ((1 << n) - 1)
+
+    def triple(self, n: int, sizes: tuple[int, int, int]) -> tuple[int, int, int]:
+        """Three numbers below sizes in n bits, whose whole bytes stand lowest first."""
+        whole, rest = divmod(n, 8)
+        value = int.from_bytes(self.take(8 * whole).to_bytes(whole, "big"), "little") if whole else 0
+        if rest:
+            value |= self.take(rest) << (8 * whole)
+        value, z = divmod(value, sizes[2])
+        x, y = divmod(value, sizes[1])
+        return x, y, z
+
+
+def _unpacked(bits: _Bits, natoms: int, low: tuple, high: tuple, small: int) -> np.ndarray:
+    """The integer coordinates of a frame: whole triples, each with a run of differences from its neighbours behind it."""
+    sizes = tuple(b - a + 1 for a, b in zip(low, high, strict=True))
+    apart = max(sizes) > 0xFFFFFF
+    each, joint = [s.bit_length() for s in sizes], (sizes[0] * sizes[1] * sizes[2]).bit_length()
+    out: list[tuple[int, int, int]] = []
+    run = 0
+    while len(out) < natoms:
+        p = tuple(map(bits.take, each)) if apart else bits.triple(joint, sizes)
+        last = (p[0] + low[0], p[1] + low[1], p[2] + low[2])
+        change = 0
+        if bits.take(1):
+            run = bits.take(5)
+            change = run % 3 - 1
+            run -= run % 3
+        if not run:
+            out.append(last)
+        width, half = _RANGES[small], _RANGES[small] // 2
+        for k in range(0, run, 3):
+            d = bits.triple(small, (width, width, width))
+            now = tuple(a + b - half for a, b in zip(last, d, strict=True))
+            out += [now] if k else [now, last]  # the first of a run stands before the whole triple
+            last = now
+        small += change
+    if len(out) != natoms:
+        raise FormatError("an XTC frame holds another number of atoms")
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def xtc_frames(data: bytes) -> Iterator[Frame]:
+    at = 0
+
+    def take(kind: str) -> tuple:
+        nonlocal at
+        size = struct.calcsize(">" + kind)
+        if at + size > len(data):
+            raise FormatError("an XTC file is cut short")
+        at += size
+        return struct.unpack_from(">" + kind, data, at - size)
+
+    while at < len(data):
+        magic, natoms, _ = take("3i")
+        if magic not in (_XTC_MAGIC, _XTC_LONG):
+            raise FormatError("not an XTC frame")
+        (time,) = take("f")
+        frame = Frame(time, _box(np.array(take("9f"), float)))
+        if take("i")[0] != natoms:
+            raise FormatError("an XTC frame holds another number of atoms")
+        if natoms <= 9:
+            frame.xyz = np.array(take(f"{3 * natoms}f"), float).reshape(-1, 3)
+        else:
+            (precision,) = take("f")
+            low, high, (small,), (size,) = take("3i"), take("3i"), take("i"), take("q" if magic == _XTC_LONG else "i")
+            (body,) = take(f"{size}s")
+            at += -size % 4
+            frame.xyz = _unpacked(_Bits(body), natoms, low, high, small) / precision
+        yield frame
+
+
+def read_xtc(data: bytes) -> Structure:
+    return Structure(frames=list(xtc_frames(data)))
+
+
+def write_xtc(frames: list[Frame], first_step: int = 0, precision: float = 1000.0) -> bytes:
+    """Whole triples only, without runs of differences: larger than need be, read by every reader."""
+    out = []
+    for k, f in enumerate(frames):
+        n = len(f.xyz)
+        box = np.asarray(f.box if f.box is not None else np.zeros(9), ">f4").tobytes()
+        out += [struct.pack(">3if", _XTC_MAGIC, n, first_step + k, f.time), box, struct.pack(">i", n)]
+        if n <= 9:
+            out.append(np.asarray(f.xyz, ">f4").tobytes())
+            continue
+        whole = np.rint(np.asarray(f.xyz, float) * precision).astype(np.int64)
+        low, high = whole.min(axis=0), whole.max(axis=0)
+        if np.abs(whole).max() > 2**31 - 3:
+            raise FormatError("coordinates are too large for this precision")
+        sizes = [int(s) for s in high - low + 1]
+        apart = max(sizes) > 0xFFFFFF
+        widths = [s.bit_length() for s in sizes] if apart else [(sizes[0] * sizes[1] * sizes[2]).bit_length()]
+        total, length = 0, 0
+        pieces: list[bytes] = []
+        for x, y, z in (whole - low).tolist():
+            if apart:
+                for v, w in zip((x, y, z), widths, strict=True):
+                    total, length = total << w | v, length + w
+            else:
+                (w,) = widths
+                value, rest = (x * sizes[1] + y) * sizes[2] + z, w % 8
+                raw = value & ((1 << (w - rest)) - 1)
+                packed = int.from_bytes(raw.to_bytes(w // 8, "little"), "big") << rest | value >> (w - rest)
+                total, length = total << w | packed, length + w
+            total, length = total << 1, length + 1
+            if length > 4096:
+                keep = length % 8
+                pieces.append((total >> keep).to_bytes(length // 8, "big"))
+                total, length = total & ((1 << keep) - 1), keep
+        pieces.append((total << (-length % 8)).to_bytes(-(-length // 8), "big"))
+        body = b"".join(pieces)
+        out += [struct.pack(">f", precision), low.astype(">i4").tobytes(), high.astype(">i4").tobytes(), struct.pack(">2i", _FIRST_SMALL, len(body)), body, bytes(-len(body) % 4)]
+    return b"".join(out)
+
+
 # -- DCD: records of a Fortran program, either byte order ----------------------------------------------------------
 
 

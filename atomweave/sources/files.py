@@ -19,10 +19,10 @@ from . import binary, text
 from .model import SCHEMAS, FormatError, Frame, Structure
 
 _TEXT = {"pdb": text.read_pdb, "ent": text.read_pdb, "gro": text.read_gro, "xyz": text.read_xyz, "itp": text.read_itp}
-_BINARY = {"trr": binary.read_trr, "dcd": binary.read_dcd, "nc": binary.read_netcdf, "ncdf": binary.read_netcdf}
+_BINARY = {"xtc": binary.read_xtc, "trr": binary.read_trr, "dcd": binary.read_dcd, "nc": binary.read_netcdf, "ncdf": binary.read_netcdf}
 _MOLECULES = ("sdf", "sd", "mol")
 WRITERS = {"pdb": text.write_pdb, "ent": text.write_pdb, "gro": text.write_gro, "xyz": text.write_xyz, "sdf": text.write_sdf, "sd": text.write_sdf, "mol": lambda s: text.write_sdf(s, close=False)}
-BINARY_WRITERS = {"trr": binary.write_trr, "dcd": binary.write_dcd, "nc": binary.write_netcdf}
+BINARY_WRITERS = {"xtc": binary.write_xtc, "trr": binary.write_trr, "dcd": binary.write_dcd, "nc": binary.write_netcdf}
 
 
 def extension(path: str) -> str:
@@ -109,5 +109,5 @@ def write(path: str, atoms: DataFrame, coords: DataFrame, frames: DataFrame | No
         for n, r in enumerate(rows, 1):
             s = _structure(r)
             s.bonds = pairs
-            f.write(binary.write_trr(s.frames, n - 1) if kind == "trr" else WRITERS[kind](s).encode())
+            f.write(BINARY_WRITERS[kind](s.frames, n - 1) if kind in BINARY_WRITERS else WRITERS[kind](s).encode())
     return n

@@ -108,10 +108,22 @@ class FrameTask(ABC):
         return self.finish(self.per_frame(kept))
 
     def stream(self, coords: DataFrame, sink, checkpoint: str, trigger: dict | None = None):
-        """Streaming: every micro-batch holds whole frames; sink(results, batch_id) gets what per_frame makes of it."""
+        """Streaming: every micro-batch holds whole frames; sink(results, batch_id) gets what per_frame makes of it.
+
+        Frames are numbered over the whole stream, so a skip counts from the window's first frame (0 without one); a skip
+        from a time and a finish over all results need all frames and are refused.
+        """
+        frame, time = parse_suffix(self.window.begin)
+        if type(self).finish is not FrameTask.finish:
+            raise ValueError("a task with a finish runs over a whole trajectory, not over a stream")
+        if self.window.skip != 1 and time is not None:
+            raise ValueError("over a stream, skip counts from a frame, not from a time")
+        wanted = self.window.condition()
+        if self.window.skip != 1:
+            wanted = wanted & (F.pmod(F.col("frame_idx") - (frame or 0), F.lit(self.window.skip)) == 0)
 
         def each(batch: DataFrame, batch_id: int) -> None:
-            sink(self.per_frame(batch.where(self.window.condition())), batch_id)
+            sink(self.per_frame(batch.where(wanted)), batch_id)
 
         return coords.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -12,7 +12,7 @@ def frames(n=3, atoms=5):
     return [Frame(2.0 * k, [3.0, 0, 0, 0.5, 2.5, 0, 0.2, -0.3, 2.0], rng.uniform(-1, 1, (atoms, 3)), rng.uniform(-1, 1, (atoms, 3)), None) for k in range(n)]
 
 
-@pytest.mark.parametrize(("write", "read", "tolerance"), [(binary.write_trr, binary.read_trr, 1e-6), (binary.write_dcd, binary.read_dcd, 1e-5), (binary.write_netcdf, binary.read_netcdf, 1e-5)])
+@pytest.mark.parametrize(("write", "read", "tolerance"), [(binary.write_trr, binary.read_trr, 1e-6), (binary.write_xtc, binary.read_xtc, 1e-6), (binary.write_dcd, binary.read_dcd, 1e-5), (binary.write_netcdf, binary.read_netcdf, 1e-5)])
 def test_binary_round_trip(write, read, tolerance):
     f = frames()
     got = read(write(f)).frames
@@ -23,8 +23,50 @@ def test_binary_round_trip(write, read, tolerance):
         assert np.abs(got[1].velocity - f[1].velocity).max() < 1e-6
 
 
+def test_xtc_packed():
+    rng = np.random.default_rng(5)
+    for scale in (0.01, 3.0, 50.0, 30000.0):
+        x = rng.uniform(-scale, scale, (300, 3))
+        got = binary.read_xtc(binary.write_xtc([Frame(1.0, None, x), Frame(2.0, None, x[::-1])])).frames
+        assert np.abs(got[0].xyz - x).max() <= 0.000501 and np.abs(got[1].xyz - x[::-1]).max() <= 0.000501 and got[1].time == 2.0
+
+
+def test_xtc_runs():
+    """A frame packed by hand: a run of two differences behind a whole triple, then a triple alone, then a run that goes on without being named."""
+    sizes, small = (101, 101, 101), 15
+    out: list[tuple[int, int]] = []
+
+    def triple(values, sizes, width):
+        value = (values[0] * sizes[1] + values[1]) * sizes[2] + values[2]
+        for _ in range(width // 8):
+            out.append((value & 255, 8))
+            value >>= 8
+        if width % 8:
+            out.append((value, width % 8))
+
+    joint, w = (101**3).bit_length(), binary._RANGES[small]
+    triple((50, 50, 50), sizes, joint)
+    out += [(1, 1), (7, 5)]  # run 6, range as before
+    triple((w // 2 + 1, w // 2, w // 2 - 2), (w, w, w), small)
+    triple((w // 2, w // 2 + 3, w // 2), (w, w, w), small)
+    triple((10, 20, 30), sizes, joint)
+    out += [(1, 1), (1, 5)]  # run 0
+    triple((1, 2, 3), sizes, joint)
+    out += [(1, 1), (4, 5)]  # run 3
+    triple((w // 2, w // 2, w // 2 + 5), (w, w, w), small)
+    for v in ((5, 5, 5), (6, 6, 6)):
+        triple(v, sizes, joint)
+        out.append((0, 1))
+        triple((w // 2 - 1, w // 2, w // 2), (w, w, w), small)
+    bits = "".join(f"{v:0{n}b}" for v, n in out)
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    want = [(51, 50, 48), (50, 50, 50), (51, 53, 48), (10, 20, 30), (1, 2, 8), (1, 2, 3), (4, 5, 5), (5, 5, 5), (5, 6, 6), (6, 6, 6)]
+    got = binary._unpacked(binary._Bits(body), 10, (0, 0, 0), (100, 100, 100), small)
+    assert [tuple(map(int, r)) for r in got] == want
+
+
 def test_damaged_files():
-    for read, data in ((binary.read_dcd, b"junk" * 30), (binary.read_trr, b"junk" * 30), (binary.read_netcdf, b"junk")):
+    for read, data in ((binary.read_dcd, b"junk" * 30), (binary.read_trr, b"junk" * 30), (binary.read_xtc, b"junk" * 30), (binary.read_netcdf, b"junk")):
         with pytest.raises((FormatError, ValueError)):
             read(data)
     with pytest.raises(FormatError):
@@ -59,7 +101,7 @@ def test_files(spark, tmp_path):
         f.write(text.write_gro(molecule()))
     atoms, coords, boxes = (files.read(spark, path, t) for t in ("atoms", "coords", "frames"))
     assert [r.name for r in atoms.orderBy("atom_idx").collect()] == ["C1", "C2", "H1"] and coords.count() == 3 and boxes.first().box[0] == 3
-    for kind in ("pdb", "trr", "dcd", "nc", "xyz"):
+    for kind in ("pdb", "trr", "xtc", "dcd", "nc", "xyz"):
         out = str(tmp_path / f"out.{kind}")
         assert files.write(out, atoms, coords, boxes) == 1
         back = files.read(spark, out, "coords").orderBy("atom_idx").collect()
