@@ -1,42 +1,53 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie of three levels.
 
-Level 1 holds the vocabulary: sorted word hashes and exact counts, in parts by the leading bits of the hash; a word's
-id is its place. Level 2 holds for each context word its successors: pointers into the successors and the successors
-themselves (each range shifted by the end of the one before, so that all rise) are Elias-Fano sequences, probabilities
-and back-off weights are codes of a byte. Parts of both levels are built by executors, written once to the shared
-folder and memory-mapped by every worker that scores; nothing of the corpus or the model passes through the driver but
-the number of words in each part.
+Level 1 holds the vocabulary: sorted word hashes and running counts, in parts by the leading bits of the hash; a word's
+id is its place. Level 2 holds for each context word its successors, level 3 for each pair the words that follow it:
+pointers into the successors and the successors themselves (each range shifted by the end of the one before, so that
+all rise) are Elias-Fano sequences; probabilities and back-off weights are codes of a byte. Parts of all levels are built
+by executors, written once to the shared folder and memory-mapped by every worker that scores; nothing of the corpus or
+the model passes through the driver but a row for each part.
 
-The model interpolates absolute discounting with smoothed word frequencies:
-P(w | h) = max(c(h, w) - D, 0) / c(h) + g(h) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), over pairs met least times or
-more (the query keeps all, least = 1), and g(h) is what these leave, so probabilities of a context add to one (but for the rounding of codes).
+Triples of neighbouring words are counted in batches, and each batch is dealt to the parts of levels 2 and 3 as one
+compressed row a part. A part is a range of places: the running count of a context word and, within the word, the share
+of the vocabulary below its successor; so parts hold about PART_TOKENS tokens, and the successors of a frequent word are
+split by themselves. (The words after one pair stay in one part: as many as the vocabulary has, at most.)
+
+The model interpolates absolute discounting through all orders, with all triples and pairs, those met once too:
+P(w | u, v) = max(c(u, v, w) - D, 0) / c(u, v) + g(u, v) * P(w | v),  P(w | v) = max(c(v, w) - D, 0) / c(v) + g(v) * P(w),
+P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), where g is what the discounts leave, so probabilities of a context add to one
+(but for the rounding of codes). The end token also stands before a text's first word.
 
 Defined results: a null or empty text is its end token alone; without training texts every count is 0; rows without an
 id are scored, not learned from, and not held out; repeated rows count as often as they stand there; other columns are
-ignored; words are told apart by 64-bit hashes; texts are read whole.
+ignored; words are told apart by 64-bit hashes; texts are read whole, long ones in parts that share their context.
 """
 
 from __future__ import annotations
 
 import os
 import urllib.parse
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import give_back, remove, shared_dir, small_batches
 from .toxicity import fold
 
-#: Words in a part of level 1 and pairs in one of level 2, about; discount; decimals of a code's step.
-PART_WORDS, PART_PAIRS, DISCOUNT, STEP = 1 << 20, 2_000_000, 0.75, 0.04
-#: Words that a worker remembers, distinct words and tokens that it gathers before it hands them on, texts in a batch.
-CACHE, GATHER, TOKENS, TEXTS = 400_000, 300_000, 2_000_000, 512
+#: Words in a part of level 1 and tokens in one of levels 2 and 3, about; discount; decimals of a code's step.
+PART_WORDS, PART_TOKENS, DISCOUNT, STEP = 1 << 20, 2_500_000, 0.75, 0.04
+#: Words that a worker remembers, distinct words and tokens that it gathers before it hands them on, tokens that are scored
+#: at once, characters of a long text that are split into words at once, slots of the tables of found pairs and triples.
+CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS = 250_000, 300_000, 1_000_000, 150_000, 500_000, 1 << 19
 END = b" "  # no word holds a space
 _U = np.uint64
+#: Bits of a worker's own word numbers, three of which are one key: CACHE and the words of TOKENS tokens are fewer.
+OWN = 21
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SELECT = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
@@ -111,9 +122,9 @@ def ef_encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
         at = np.arange(n, dtype=np.int64) * low
         word, off = at >> 6, (at & 63).astype(_U)
         part = v & _U((1 << low) - 1)
-        np.bitwise_or.at(lows, word, part << off)
+        np.add.at(lows, word, part << off)  # bits don't meet
         over = off + _U(low) > _U(64)
-        np.bitwise_or.at(lows, word[over] + 1, part[over] >> (_U(64) - off[over]))
+        np.add.at(lows, word[over] + 1, part[over] >> (_U(64) - off[over]))
     return {f"{name}_low": lows, f"{name}_bits": np.packbits(bits, bitorder="little"), f"{name}_zeros": np.append(0, np.cumsum(zeros)), f"{name}_meta": np.array([n, low], np.int64)}
 
 
@@ -172,30 +183,68 @@ class EliasFano:
         return out
 
 
-# -- the trie ---------------------------------------------------------------------------------------------------
+# -- words of texts ------------------------------------------------------------------------------------------------
+
+
+def slices(text: str) -> Iterator[tuple[str, bool]]:
+    """A long text in parts that end at ASCII white space, and whether a part is the last."""
+    at = 0
+    while len(text) - at > CHARS:
+        end = min((k for k in (text.find(c, at + CHARS) for c in " \t\n\v\f\r") if k >= 0), default=len(text))
+        if end == len(text):
+            break
+        yield text[at:end], False
+        at = end
+    yield text[at:], True
+
+
+def parts_of(texts: list[str | None]) -> Iterator[tuple[int, list[bytes], int, bool]]:
+    """(number of the text, words, how many of them an earlier part has given, whether the end stands last)."""
+    for k, text in enumerate(texts):
+        kept: list[bytes] = []
+        for piece, last in slices(text or ""):
+            words = [*kept, *piece.encode("utf-8", "surrogatepass").lower().split()]  # bytes know A-Z and ASCII white space only
+            if last:
+                words.append(END)
+            yield k, words, len(kept), last
+            kept = words[-2:]
+
+
+def words_of(text: str) -> list[bytes]:
+    """All words, then the end."""
+    return [w for _, words, skip, _ in parts_of([text]) for w in words[skip:]]
+
+
+# -- level 1 ---------------------------------------------------------------------------------------------------------
 
 
 def code_of(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 255).astype(np.uint8)
 
 
+def value_of(code: np.ndarray) -> np.ndarray:
+    return 10.0 ** (code * -STEP)
+
+
 class Vocabulary:
-    """Level 1: word hash to id, id to count; sizes: words of each part, in order."""
+    """Word hash to id, id to count and to the counts before it; sizes and tokens of each part, in order."""
 
-    def __init__(self, folder: str, sizes: list[int], total: int):
-        self.folder, self.shift, self.total = folder, 64 - (len(sizes) - 1).bit_length(), total
+    def __init__(self, folder: str, sizes: list[int], tokens: list[int]):
+        self.folder, self.shift = folder, 64 - (len(sizes) - 1).bit_length()
         self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        self.size = int(self.first[-1])
+        self.before = np.concatenate(([0], np.cumsum(tokens))).astype(np.int64)
+        self.size, self.total = int(self.first[-1]), int(self.before[-1])
         self.parts: dict[int, dict[str, np.ndarray]] = {}
-        self.ids: dict[bytes, int] = {}
 
     def part(self, k: int) -> dict[str, np.ndarray]:
         if k not in self.parts:
+            if len(self.parts) > 256:
+                self.parts.clear()
             self.parts[k] = get(f"{self.folder}/words-{k}")
         return self.parts[k]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"parts": {}, "ids": {}}
+        return self.__dict__ | {"parts": {}}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids, -1 for words that training doesn't hold."""
@@ -209,208 +258,423 @@ class Vocabulary:
                 out[own[hit]] = at[hit] + self.first[k]
         return out
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of ids; 0 for -1."""
-        out = np.zeros(len(ids), np.int64)
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the ids before, and of the ids themselves; 0 for -1."""
+        before, count = np.zeros((2, len(ids)), np.int64)
         which = np.searchsorted(self.first, ids, "right") - 1
         for k in np.unique(which[ids >= 0]):
             own = np.flatnonzero((which == k) & (ids >= 0))
-            out[own] = self.part(int(k))["count"][ids[own] - self.first[k]]
-        return out
+            running = self.part(int(k))["running"]
+            at = ids[own] - self.first[k]
+            before[own] = running[at] + self.before[k]
+            count[own] = running[at + 1] - running[at]
+        return before, count
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = list({w for w in words if w not in self.ids})
-        if new:
-            found = self.find(np.fromiter(map(xxhash.xxh3_64_intdigest, new), _U, len(new)))
-            self.ids.update(zip(new, found.tolist(), strict=True))
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+    def part_of(self, before: np.ndarray, count: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """The part of levels 2 and 3 that holds a context (by its places) and the word that follows it."""
+        within = np.minimum((count * (following / max(self.size, 1))).astype(np.int64), np.maximum(count - 1, 0))
+        return (before + within) // PART_TOKENS
 
-    def tidy(self) -> None:
-        if len(self.ids) > CACHE:
-            self.ids.clear()
 
-    def log10(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.size + 1)))
+class Numbers:
+    """A worker's own numbers of the words it has met, from 2 on; 0 is none, 1 the end."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.clear()
 
-def words_of(text: str) -> list[bytes]:
-    """Words, then the end; bytes.lower and bytes.split know A-Z and ASCII white space only."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+    def clear(self) -> None:
+        self.of: dict[bytes, int] = {b"": 0}
+        self.id, self.before, self.count = np.full(1, -1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.take([END])
 
+    def take(self, words: list[bytes]) -> np.ndarray:
+        new = list(set(words).difference(self.of))
+        if new:
+            self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
+            ids = self.vocabulary.find(np.fromiter(map(xxhash.xxh3_64_intdigest, new), _U, len(new)))
+            before, count = self.vocabulary.places(ids)
+            self.id, self.before, self.count = (np.concatenate(p) for p in ((self.id, ids), (self.before, before), (self.count, count)))
+        return np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
+
+
+class Tokens:
+    """Parts of texts as one run of numbers, with what stands before and after each."""
+
+    def __init__(self, numbers: Numbers, held: list[tuple[int, list[bytes], int, bool]]):
+        self.x = numbers.take([w for _, words, _, _ in held for w in words])
+        lengths = np.array([len(words) for _, words, _, _ in held], np.int64)
+        skip, last = np.array([p[2] for p in held]), np.array([p[3] for p in held])
+        self.part = np.repeat(np.arange(len(held)), lengths)
+        self.starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+        self.prev = np.concatenate(([1], self.x[:-1]))
+        self.prev[self.starts] = 1
+        self.next = np.concatenate((self.x[1:], [0]))
+        ends = (np.cumsum(lengths) - 1)[lengths > 0]
+        self.next[ends] = 0
+        at = np.arange(len(self.x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.own = at >= skip[self.part]  # not given by an earlier part
+        self.centre = at >= skip[self.part] - 1  # what follows the last word of a part is known in the next one
+        self.centre[ends] &= last[lengths > 0]
+        self.text = np.array([p[0] for p in held])[self.part]
+
+
+# -- levels 2 and 3 ------------------------------------------------------------------------------------------------
+
+
+def ranges(begin: np.ndarray, word: np.ndarray, n: int, name: str) -> dict[str, np.ndarray]:
+    """Pointers and successors of n contexts; begin: the context of each successor, rising. Each range is shifted by the end of the one before."""
+    of = np.bincount(begin, minlength=n)
+    pointer = np.concatenate(([0], np.cumsum(of)))
+    last = np.zeros(n, np.int64)
+    last[of > 0] = word[pointer[1:][of > 0] - 1] + 1
+    shift = np.cumsum(last) - last
+    return ef_encode(pointer, f"{name}_pointer") | ef_encode(word + 1 + shift[begin], f"{name}_next")
+
+
+class Level:
+    """The successors of some contexts, by the place of the context."""
+
+    def __init__(self, a: dict[str, np.ndarray], name: str):
+        self.pointer, self.next, self.code = EliasFano(a, f"{name}_pointer"), EliasFano(a, f"{name}_next"), a[f"{name}_code"]
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of the words among the successors of the contexts, -1 where they don't follow."""
+        h, each = np.unique(context, return_inverse=True)  # pointers are read once a context
+        begin, end = self.pointer[h], self.pointer[h + 1]
+        base = np.where(begin > 0, self.next[np.maximum(begin - 1, 0)], 0) if self.next.n else np.zeros(len(h), np.int64)
+        at = self.next.find(base[each] + word + 1)
+        return np.where((at >= begin[each]) & (at < end[each]), at, -1)  # not of a later range
+
+
+class Part:
+    """Levels 2 and 3 of a range of places."""
+
+    def __init__(self, a: dict[str, np.ndarray]):
+        self.start, self.contexts = (int(v) for v in a["start"])
+        self.pairs, self.triples, self.backoff = Level(a, "pair"), Level(a, "triple"), a["backoff"]
+
+    def followers(self, ids: np.ndarray) -> np.ndarray:
+        """How many words follow each context here."""
+        h = ids - self.start
+        ok = (h >= 0) & (h < self.contexts)
+        h = np.where(ok, h, 0)
+        return np.where(ok, self.pairs.pointer[h + 1] - self.pairs.pointer[h], 0)
+
+    def pair(self, ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+        h = ids - self.start
+        out = np.full(len(ids), -1, np.int64)
+        ok = np.flatnonzero((h >= 0) & (h < self.contexts))
+        if len(ok):
+            out[ok] = self.pairs.find(h[ok], words[ok])
+        return out
 
-class Pairs:
-    """Level 2: (context, word) to a code, context to its back-off code; contexts are ids, and vocabulary.size for the start."""
 
-    def __init__(self, folder: str, contexts: int, per: int):
-        self.folder, self.contexts, self.per, self.parts = folder, contexts, per, {}
+def _pack(arrays: list[np.ndarray], wide: bool) -> bytes:
+    kind = "<i8" if wide else "<i4"
+    return zstandard.compress(b"".join([np.array([len(arrays[0]), wide], "<i8").tobytes(), *[a.astype(kind).tobytes() for a in arrays]]), 1)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"parts": {}}
 
-    def part(self, k: int) -> tuple | None:
-        if k not in self.parts:
-            try:
-                a = get(f"{self.folder}/pairs-{k}")
-                self.parts[k] = (EliasFano(a, "pointer"), EliasFano(a, "next"), a["code"], a["backoff"])
-            except FileNotFoundError:  # no pair of these contexts is kept
-                self.parts[k] = None
-        return self.parts[k]
+def _unpack(body: bytes) -> np.ndarray:
+    raw = zstandard.decompress(body)
+    n, wide = np.frombuffer(raw, "<i8", 2)
+    return np.frombuffer(raw, "<i8" if wide else "<i4", 4 * int(n), 16).reshape(4, -1)
+
 
-    def look_up(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the pair's probability (nan if it isn't kept) and of the context's back-off weight."""
-        found, back = np.full(len(context), np.nan), np.zeros(len(context))
-        which = np.where(context >= 0, context // self.per, -1)
-        for k in np.unique(which[which >= 0]):
-            part = self.part(int(k))
-            if part is None:
-                continue
-            pointer, following, code, backoff = part
-            own = np.flatnonzero(which == k)
-            h, each = np.unique(context[own] - k * self.per, return_inverse=True)  # pointers are read once a context
-            back[own] = (backoff[h] * -STEP)[each]
-            begin, end = pointer[h], pointer[h + 1]
-            base = np.where(begin > 0, following[np.maximum(begin - 1, 0)], 0)
-            own, each = own[(word[own] >= 0) & (end > begin)[each]], each[(word[own] >= 0) & (end > begin)[each]]
-            at = following.find(base[each] + word[own] + 1)
-            hit = (at >= begin[each]) & (at < end[each])  # not of a later range
-            found[own[hit]] = code[at[hit]] * -STEP
-        return found, back
+def _sorted(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Distinct triples in order, with the sums of n; w is -1 or more, v and w are below size."""
+    bits, low = int(size).bit_length(), int(u.min())
+    if (int(u.max()) - low).bit_length() + 2 * bits + 1 <= 63:
+        order = np.argsort((u - low) << (2 * bits + 1) | v << (bits + 1) | (w + 1))
+    else:
+        order = np.lexsort((w, v, u))
+    u, v, w, n = u[order], v[order], w[order], n[order]
+    begin = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+    return u[begin], v[begin], w[begin], np.add.reduceat(n, begin)
+
+
+def build(vocabulary: Vocabulary, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The arrays of a part from its triples (w is -1 after the end), its contexts and how many words follow each."""
+    u, v, w, n = _sorted(u, v, w, n, vocabulary.size)
+    begin = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
+    n2, pu, pv = np.add.reduceat(n, begin), u[begin], v[begin]
+    start, contexts = int(pu[0]), int(pu[-1] - pu[0]) + 1
+    own, each, followers = np.unique(pu, return_inverse=True, return_counts=True)
+    whole = vocabulary.places(own)[1]
+    out = {"start": np.array([start, contexts], np.int64)} | ranges(pu - start, pv, contexts, "pair") | {"pair_code": code_of(np.log10((n2 - DISCOUNT) / whole[each]))}
+    real = w >= 0
+    pair = (np.cumsum(np.bincount(begin, minlength=len(u))) - 1)[real]
+    kinds, total = np.bincount(pair, minlength=len(pu)), np.bincount(pair, n[real], minlength=len(pu))
+    out |= ranges(pair, w[real], len(pu), "triple") | {"triple_code": code_of(np.log10((n[real] - DISCOUNT) / total[pair]))}
+    out["backoff"] = code_of(np.log10(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)))
+    return out, own, followers
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[bytes, int] = {}
+    seen: Counter = Counter()
 
     def out() -> pa.RecordBatch:
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), _U, len(seen))
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["hash", "n"])
 
     for b in batches:
-        for text in b.column(0):
-            for w in words_of(text.as_py() or ""):
-                seen[w] = seen.get(w, 0) + 1
+        for _, words, skip, _ in parts_of(b.column(0).to_pylist()):
+            seen.update(words[skip:] if skip else words)
             if len(seen) > GATHER:
                 yield out()
                 seen.clear()
     yield out()
+    del seen
+    give_back()
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, pairs: Pairs):
-        self.vocabulary, self.pairs = vocabulary, pairs
+    """vocabulary, folder of the parts, and how many words follow each context that several parts hold."""
+
+    def __init__(self, vocabulary: Vocabulary, folder: str, spread: dict[int, int]):
+        self.vocabulary, self.folder, self.spread, self.parts = vocabulary, folder, spread, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"parts": {}}
 
+    def part(self, k: int) -> Part | None:
+        if k not in self.parts:
+            if len(self.parts) > 256:
+                self.parts.clear()
+            try:
+                self.parts[k] = Part(get(f"{self.folder}/part-{k}"))
+            except FileNotFoundError:  # no pair has its place there
+                self.parts[k] = None
+        return self.parts[k]
 
-def train(docs: DataFrame, text_col: str = "text", least: int = 2) -> Model:
-    """A model of all rows of docs and their pairs met least times or more, its levels written to a new folder of the shared store."""
+    def followers(self, ids: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """How many different words follow each known id."""
+        out = np.zeros(len(ids), np.int64)
+        first, last = before // PART_TOKENS, (before + np.maximum(count, 1) - 1) // PART_TOKENS
+        split = np.flatnonzero((count > 0) & (last > first))
+        for i in split:  # contexts at the borders of parts
+            k = int(ids[i])
+            out[i] = self.spread[k] if k in self.spread else sum(int(p.followers(ids[i : i + 1])[0]) for p in map(self.part, range(int(first[i]), int(last[i]) + 1)) if p)
+        one = np.flatnonzero((count > 0) & (last == first))
+        for k in np.unique(first[one]):
+            own = one[first[one] == k]
+            if (part := self.part(int(k))) is not None:
+                out[own] = part.followers(ids[own])
+        return out
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """A model of all rows of docs, its levels written to a new folder of the shared store."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counted = texts.mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     counted.write.parquet(f"{folder}/counts")
     counted = spark.read.parquet(f"{folder}/counts")
-    size, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = counted.count()
     parts = 1 << max(0, int(np.ceil(np.log2(max(1, size / PART_WORDS)))))
     shift = 64 - (parts - 1).bit_length()
 
     def level1(key: tuple, t: pa.Table) -> pa.Table:
-        h = t.column("hash").to_numpy().view(_U)
+        h, n = t.column("hash").to_numpy().view(_U), t.column("n").to_numpy()
         order = np.argsort(h)
-        put(f"{folder}/words-{key[0].as_py()}", {"hash": h[order], "count": t.column("n").to_numpy()[order]})
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": [len(h)]})
+        put(f"{folder}/words-{key[0].as_py()}", {"hash": h[order], "running": np.concatenate(([0], np.cumsum(n[order])))})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": [len(h)], "tokens": [int(n.sum())]})
 
     part = F.shiftrightunsigned("hash", shift).cast("int") if parts > 1 else F.lit(0)
-    made = {r["part"]: r["n"] for r in counted.withColumn("part", part).groupBy("part").applyInArrow(level1, "part int, n long").collect()}
-    vocabulary = Vocabulary(folder, [made.get(k, 0) for k in range(parts)], total)
-    start = vocabulary.size
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts, pa.int64())], names=["pair", "n"])
+    made = {r["part"]: r for r in counted.withColumn("part", part).groupBy("part").applyInArrow(level1, "part int, n long, tokens long").collect()}
+    vocabulary = Vocabulary(folder, *[[made[k][c] if k in made else 0 for k in range(parts)] for c in ("n", "tokens")])
+    remove(spark, f"{folder}/counts")
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, held, keys, n = Numbers(vocabulary), [], [], 0
+
+        def key() -> None:
+            t = Tokens(numbers, held)
+            keys.append((t.prev << (2 * OWN) | t.x << OWN | t.next)[t.centre])
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, count = np.unique(np.concatenate(keys), return_counts=True)
+            keys.clear()
+            mask = (1 << OWN) - 1
+            p, v, w = k >> (2 * OWN), numbers.id[(k >> OWN) & mask], numbers.id[k & mask]
+            part = vocabulary.part_of(numbers.before[p], numbers.count[p], v)
+            order = np.argsort(part, kind="stable")
+            u, v, w, count, part = numbers.id[p][order], v[order], w[order], count[order], part[order]
+            begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            wide = vocabulary.size >= 1 << 31
+            bodies = [_pack([a[i:j] for a in (u, v, w, count)], wide) for i, j in zip(begin, [*begin[1:], len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(bodies, pa.binary())], names=["part", "body"])
+            if len(numbers.of) > CACHE:
+                numbers.clear()
 
         for b in batches:
-            for at in range(0, len(b), TEXTS):
-                vocabulary.tidy()
-                tokens = [words_of(t or "") for t in b.column(0).slice(at, TEXTS).to_pylist()]
-                ids = vocabulary.numbers([w for t in tokens for w in t])
-                before = np.concatenate(([start], ids[:-1]))
-                before[np.cumsum([0] + [len(t) for t in tokens[:-1]])] = start
-                held.append(before << 32 | ids)
-                n += len(ids)
-                if n >= TOKENS:
-                    yield out()
-                    held, n = [], 0
+            for piece in parts_of(b.column(0).to_pylist()):
+                held.append(piece)
+                n += len(piece[1])
+                if sum(map(len, keys)) + n >= TOKENS:
+                    key()
+                    n = 0
+                    yield from out()
+                elif n >= BATCH:
+                    key()
+                    n = 0
         if held:
-            yield out()
-
-    if start >= 1 << 31:
-        raise ValueError("more words than ids of 31 bits")
-    paired = texts.mapInArrow(pair_up, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    paired.write.parquet(f"{folder}/paired")
-    kept = spark.read.parquet(f"{folder}/paired")
-    shares = max(1, -(-kept.count() // PART_PAIRS))
-    per = -(-(start + 1) // shares)
-    n_texts = texts.count()
-
-    def level2(key: tuple, t: pa.Table) -> pa.Table:
+            key()
+        if keys:
+            yield from out()
+        del numbers
+        give_back()
+
+    def level23(key: tuple, t: pa.Table) -> pa.Table:
         k = key[0].as_py()
-        pair = t.column("pair").to_numpy()
-        order = np.argsort(pair)
-        pair, n = pair[order], t.column("n").to_numpy()[order]
-        h, word = (pair >> 32) - k * per, pair & 0xFFFFFFFF
-        of = np.bincount(h, minlength=per)
-        pointer = np.concatenate(([0], np.cumsum(of)))
-        context = np.arange(per) + k * per
-        whole = vocabulary.counts(np.where(context < start, context, -1)).astype(float)
-        whole[context == start] = n_texts
-        share = (n - DISCOUNT) / whole[h]
-        rest = np.maximum(1 - np.bincount(h, share, minlength=per), 1e-9)
-        log = np.log10(share + rest[h] * 10 ** vocabulary.log10(vocabulary.counts(word)))
-        # each range rises by its own ids plus the end of the range before, plus one so that ends differ
-        last = np.zeros(per, np.int64)
-        last[of > 0] = word[pointer[1:][of > 0] - 1] + 1
-        shift_by = np.cumsum(last) - last
-        put(f"{folder}/pairs-{k}", ef_encode(pointer, "pointer") | ef_encode(word + 1 + shift_by[h], "next") | {"code": code_of(log), "backoff": code_of(np.log10(rest))})
-        return pa.table({"part": pa.array([k], pa.int32()), "n": [len(pair)]})
-
-    which = (F.shiftright("pair", 32) / per).cast("int")
-    kept.withColumn("part", which).groupBy("part").applyInArrow(level2, "part int, n long").agg(F.sum("n")).collect()
-    return Model(vocabulary, Pairs(folder, start + 1, per))
+        u, v, w, n = (a.astype(np.int64) for a in np.concatenate([_unpack(x.as_py()) for x in t.column("body")], axis=1))
+        arrays, own, followers = build(vocabulary, u, v, w, n)
+        put(f"{folder}/part-{k}", arrays)
+        give_back()
+        return pa.table({"part": pa.array([k], pa.int64()), "u": [int(own[0])], "n": [int(followers[0])], "last_u": [int(own[-1])], "last_n": [int(followers[-1])]})
+
+    borders: dict[int, list[int]] = {}
+    dealt = texts.mapInArrow(triples, "part long, body binary") if size else None
+    for r in dealt.groupBy("part").applyInArrow(level23, "part long, u long, n long, last_u long, last_n long").collect() if size else ():
+        borders.setdefault(r["u"], []).append(r["n"])
+        if r["last_u"] != r["u"]:
+            borders.setdefault(r["last_u"], []).append(r["last_n"])
+    return Model(vocabulary, folder, {u: sum(n) for u, n in borders.items() if len(n) > 1})
+
+
+class Scorer:
+    """Scores texts; a worker's words, pairs and triples keep what the trie says of them in stores of fixed size."""
+
+    def __init__(self, model: Model):
+        self.model, self.vocabulary = model, model.vocabulary
+        self.triple_key, self.triple_share = np.zeros(SLOTS * 2, _U), np.zeros(SLOTS * 2, np.float32)
+        self.numbers = Numbers(model.vocabulary)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers.clear()
+        self.single, self.rest = np.zeros(0), np.zeros(0)
+        self.key, self.ref = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
+        self.share, self.back = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
+
+    def _learn(self) -> None:
+        """The probability of new words, and what they leave to words that don't follow them."""
+        a, n = len(self.single), self.numbers
+        ids, before, count = n.id[a:], n.before[a:], n.count[a:]
+        v = self.vocabulary
+        self.single = np.concatenate((self.single, (count + 0.5) / (v.total + 0.5 * (v.size + 1))))
+        rest = np.where(count > 0, DISCOUNT * self.model.followers(ids, before, count) / np.maximum(count, 1), 1.0)
+        self.rest = np.concatenate((self.rest, rest))
+
+    def _pairs(self, prev: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Share, back-off weight and reference (part << 32 | place, -1 if unknown) of pairs of numbers."""
+        key = prev << OWN | x
+        slot = ((key.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+        share, back, ref = self.share[slot], self.back[slot], self.ref[slot]
+        miss = np.flatnonzero(self.key[slot] != key)
+        if len(miss):
+            keys, first, each = np.unique(key[miss], return_index=True, return_inverse=True)
+            n = self.numbers
+            p, w = keys >> OWN, n.id[keys & ((1 << OWN) - 1)]
+            s, b, r = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32), np.full(len(keys), -1, np.int64)
+            known = np.flatnonzero((n.count[p] > 0) & (w >= 0))
+            which = self.vocabulary.part_of(n.before[p[known]], n.count[p[known]], w[known])
+            for k in np.unique(which):
+                if (part := self.model.part(int(k))) is not None:
+                    own = known[which == k]
+                    at = part.pair(n.id[p[own]], w[own])
+                    own, at = own[at >= 0], at[at >= 0]
+                    s[own], b[own], r[own] = value_of(part.pairs.code[at]), value_of(part.backoff[at]), int(k) << 32 | at
+            share[miss], back[miss], ref[miss] = s[each], b[each], r[each]
+            put_at = slot[miss[first]]
+            self.key[put_at], self.share[put_at], self.back[put_at], self.ref[put_at] = keys, s, b, r
+            lost = self.key[put_at] != keys  # of two keys for one slot the later one stays
+            if lost.any():
+                stay = np.flatnonzero(~lost)
+                self.share[put_at[stay]], self.back[put_at[stay]], self.ref[put_at[stay]] = s[stay], b[stay], r[stay]
+        return share, back, ref
+
+    def _triples(self, ref: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Share of words after pairs, given by reference."""
+        key = (ref.astype(_U) * _U(0xBF58476D1CE4E5B9)) ^ (word.astype(_U) * _U(0x94D049BB133111EB))
+        key = (key ^ (key >> _U(31))) * _U(0x9E3779B97F4A7C15) | _U(1)
+        slot = (key >> _U(64 - (2 * SLOTS - 1).bit_length())).astype(np.int64)
+        share = self.triple_share[slot]
+        miss = np.flatnonzero(self.triple_key[slot] != key)
+        if len(miss):
+            keys, first, each = np.unique(key[miss], return_index=True, return_inverse=True)
+            r, w = ref[miss[first]], word[miss[first]]
+            s = np.zeros(len(keys), np.float32)
+            which = r >> 32
+            for k in np.unique(which):
+                part = self.model.part(int(k))
+                own = np.flatnonzero(which == k)
+                at = part.triples.find(r[own] & 0xFFFFFFFF, w[own])
+                own, at = own[at >= 0], at[at >= 0]
+                s[own] = value_of(part.triples.code[at])
+            share[miss] = s[each]
+            put_at = slot[miss[first]]
+            self.triple_key[put_at], self.triple_share[put_at] = keys, s
+            stay = np.flatnonzero(self.triple_key[put_at] == keys)
+            self.triple_share[put_at[stay]] = s[stay]
+        return share
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base score and score of each text."""
+        n_tokens, n_known = np.zeros((2, len(texts)), np.int64)
+        base, log = np.zeros((2, len(texts)))
+        held, n = [], 0
+
+        def run() -> None:
+            if len(self.numbers.of) > CACHE:
+                self.clear()
+            t = Tokens(self.numbers, held)
+            self._learn()
+            held.clear()
+            word, single = self.numbers.id[t.x], self.single[t.x]
+            share, back, ref = self._pairs(t.prev, t.x)
+            p = share + self.rest[t.prev] * single
+            ref, back = np.concatenate(([-1], ref[:-1])), np.concatenate(([1], back[:-1]))
+            ref[t.starts], back[t.starts] = -1, 1  # of the pair before
+            p *= back
+            both = np.flatnonzero((ref >= 0) & (word >= 0))
+            p[both] += self._triples(ref[both], word[both])
+            own, text = t.own, t.text[t.own]
+            for out, value in ((n_tokens, None), (n_known, (word >= 0).astype(float)), (base, np.log10(single)), (log, np.log10(p))):
+                out += np.bincount(text, None if value is None else value[own], len(texts)).astype(out.dtype)
+
+        for piece in parts_of(texts):
+            held.append(piece)
+            n += len(piece[1])
+            if n >= BATCH:
+                run()
+                n = 0
+        if held:
+            run()
+        return n_tokens, n_known, base, log
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    vocabulary, pairs = model.vocabulary, model.pairs
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for b in batches:
-            for at in range(0, len(b), TEXTS):
-                part = b.slice(at, TEXTS)
-                vocabulary.tidy()
-                tokens = [words_of(t or "") for t in part.column(1).to_pylist()]
-                lengths = np.array([len(t) for t in tokens])
-                first = np.cumsum(lengths) - lengths
-                ids = vocabulary.numbers([w for t in tokens for w in t])
-                before = np.concatenate(([vocabulary.size], ids[:-1]))
-                before[first] = vocabulary.size
-                own, back = np.unique(ids, return_inverse=True)
-                counts = vocabulary.counts(own)
-                base = vocabulary.log10(counts)[back]
-                keys, again = np.unique(before << 32 | (ids & 0xFFFFFFFF), return_inverse=True)
-                found, weight = pairs.look_up(keys >> 32, np.where((keys & 0xFFFFFFFF) == 0xFFFFFFFF, -1, keys & 0xFFFFFFFF))
-                log = np.where(np.isnan(found), 0, found)[again] + np.where(np.isnan(found[again]), weight[again] + base, 0)
-                known = (counts > 0)[back].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat(known, first)), pa.array(np.full(len(part), vocabulary.total, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(log, first))],
-                    names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+            n_tokens, n_known, base, log = scorer.score(b.column(1).to_pylist())
+            total = np.full(len(b), model.vocabulary.total, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (n_tokens, n_known, total, base, log))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        del scorer
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame, folds: int = 5, out: int = 1, least: int = 2) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 5, out: int = 1) -> DataFrame:
     """Trains on the texts whose fold isn't out and scores all; held_out tells the others."""
-    model = train(docs.where(fold("doc_id", folds) != out), least=least)
+    model = train(docs.where(fold("doc_id", folds) != out))
     held_out = F.coalesce(fold("doc_id", folds) == out, F.lit(False))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -180,61 +181,105 @@ def test_elias_fano():
     assert (ngram.EliasFano(ngram.ef_encode(flat, "x"), "x")[np.arange(8)] == flat).all()
 
 
-def test_language_model(spark, make, sf_dir, odd_rows, empty, monkeypatch):
-    monkeypatch.setattr(ngram, "PART_PAIRS", 800)
-    monkeypatch.setattr(ngram, "PART_WORDS", 1 << 12)
-    from atomweave.llm.queries import table
-
-    rows = [*odd_rows, *[(r.doc_id + 1000, r.text) for r in table(spark, sf_dir, "documents").collect()]]
-    got = ngram.score_held_out(make(rows)).collect()
-    words = lambda t: ngram.words_of(t or "")
+def plain_model(texts):
+    """Probabilities of the interpolated model from plain counts."""
+    counts = [Counter(), Counter(), Counter()]  # words, pairs, triples
+    for text in texts:
+        w = [ngram.END, *ngram.words_of(text or "")]
+        counts[0].update(w[1:])
+        counts[1].update(zip(w, w[1:], strict=False))
+        counts[2].update(zip(w, w[1:], w[2:], strict=False))
+    total, kinds = sum(counts[0].values()), len(counts[0])
+    context, follow = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for k in (1, 2):
+        for g, c in counts[k].items():
+            context[k][g[:-1]] += c
+            follow[k][g[:-1]] += 1
+
+    def p(w, *before):
+        k = len(before)
+        if not k:
+            return (counts[0][w] + 0.5) / (total + 0.5 * (kinds + 1))
+        lower = p(w, *before[1:])
+        if not context[k][before]:
+            return lower
+        return max(counts[k][(*before, w)] - ngram.DISCOUNT, 0) / context[k][before] + ngram.DISCOUNT * follow[k][before] / context[k][before] * lower
+
+    return counts[0], total, p
+
+
+def check_scores(got, rows):
     learned = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
-    count, pairs, contexts = Counter(), Counter(), Counter()
-    for t in learned:
-        w = words(t)
-        before = [None, *w[:-1]]
-        count.update(w)
-        pairs.update(zip(before, w, strict=True))
-        contexts.update(before)
-    total, kinds = sum(count.values()), len(count)
-    base = lambda w: (count[w] + 0.5) / (total + 0.5 * (kinds + 1))
-    kept = Counter()
-    for (h, _), c in pairs.items():
-        if c > 1:
-            kept[h] += (c - ngram.DISCOUNT) / contexts[h]
+    count, total, p = plain_model(learned)
     gain = [0.0, 0.0]
     for r, (i, t) in zip(got, rows, strict=True):
-        w = words(t)
-        b = sum(math.log10(base(x)) for x in w)
-        s = sum(math.log10(((c - ngram.DISCOUNT) / contexts[h] if (c := pairs[h, x]) > 1 else 0) + (1 - kept[h]) * base(x)) for h, x in zip([None, *w[:-1]], w, strict=True))
+        w = [ngram.END, *ngram.words_of(t or "")]
+        b = sum(math.log10(p(x)) for x in w[1:])
+        s = math.log10(p(w[1], w[0])) + sum(math.log10(p(x, u, v)) for u, v, x in zip(w, w[1:], w[2:], strict=False))
         held = i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-        assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, held, len(w), sum(count[x] > 0 for x in w), total)
-        assert abs(r.base_score - b) < 1e-6 * max(1, abs(b)) and abs(r.score - s) <= 0.03 * len(w)
+        assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, held, len(w) - 1, sum(count[x] > 0 for x in w[1:]), total)
+        assert abs(r.base_score - b) < 1e-6 * max(1, abs(b)) and abs(r.score - s) <= 0.03 * len(w), (i, r.score, s)
         if held:
             gain = [gain[0] + b, gain[1] + r.score]
+    return gain
+
+
+def test_language_model(spark, make, sf_dir, odd_rows, empty):
+    """All pairs and triples, those met once too."""
+    from atomweave.llm.queries import table
+
+    rows = [*odd_rows, *[(r.doc_id + 1000, r.text) for r in table(spark, sf_dir, "documents").collect()]]
+    gain = check_scores(ngram.score_held_out(make(rows)).collect(), rows)
     assert gain[1] > gain[0]
     assert ngram.score_held_out(empty).count() == 0
+    assert {r.score for r in ngram.score_held_out(make([(None, "no id"), (None, "")])).collect()} == {0.0}
+
+
+def test_split_contexts_and_texts(spark, sf_dir, odd_rows, monkeypatch):
+    """Contexts over many parts, texts in parts, workers that forget; all in this process."""
+    from atomweave.llm.queries import table
+
+    for name, value in (("PART_TOKENS", 300), ("CHARS", 200), ("BATCH", 700), ("CACHE", 300), ("SLOTS", 256)):
+        monkeypatch.setattr(ngram, name, value)
+    rows = [*odd_rows, *[(r.doc_id + 1000, r.text) for r in table(spark, sf_dir, "documents").limit(60).collect()]]
+    model = local_model([t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1])
+    assert len(model.parts) > 20 and model.spread
+    found = ngram.Scorer(model).score([t for _, t in rows])
+    fold = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    got = [SimpleNamespace(doc_id=i, held_out=f, n_tokens=int(a), n_known=int(b), train_tokens=model.vocabulary.total, base_score=c, score=d) for (i, _), f, a, b, c, d in zip(rows, fold, *found, strict=True)]
+    gain = check_scores(got, rows)
+    assert gain[1] > gain[0]
 
 
-def test_query_keeps_pairs_met_once(spark, tmp_path):
+def local_model(texts):
+    """The trie built in this process, by the functions that the tasks run."""
+    count = Counter(w for _, words, skip, _ in ngram.parts_of(texts) for w in words[skip:])
+    pairs = sorted((ngram.xxhash.xxh3_64_intdigest(w), c) for w, c in count.items())
+    n = np.array([c for _, c in pairs])
+    vocabulary = ngram.Vocabulary("", [len(pairs)], [int(n.sum())])
+    vocabulary.parts[0] = {"hash": np.array([h for h, _ in pairs], np.uint64), "running": np.concatenate(([0], np.cumsum(n)))}
+    numbers = ngram.Numbers(vocabulary)
+    t = ngram.Tokens(numbers, list(ngram.parts_of(texts)))
+    u, v, w = (numbers.id[a[t.centre]] for a in (t.prev, t.x, t.next))
+    part = vocabulary.part_of(numbers.before[t.prev[t.centre]], numbers.count[t.prev[t.centre]], v)
+    model, borders = ngram.Model(vocabulary, "", {}), {}
+    for k in range(int(vocabulary.total // ngram.PART_TOKENS) + 1):
+        own = part == k
+        model.parts[k] = None
+        if own.any():
+            arrays, ids, followers = ngram.build(vocabulary, u[own], v[own], w[own], np.ones(own.sum(), np.int64))
+            model.parts[k] = ngram.Part(arrays)
+            for c in {0, len(ids) - 1}:
+                borders.setdefault(int(ids[c]), []).append(int(followers[c]))
+    model.part = model.parts.get
+    model.spread = {i: sum(n) for i, n in borders.items() if len(n) > 1}
+    return model
+
+
+def test_query_keeps_what_is_met_once(spark, tmp_path):
     from atomweave.llm.queries import op10_ngram
 
     docs = [(i, f"common common only{i} once{i} common") for i in range(40)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in op10_ngram(spark, str(tmp_path)).collect()}
-    words = {i: ngram.words_of(t) for i, t in docs}
-    pairs, contexts, count = Counter(), Counter(), Counter()
-    for i, _ in docs:
-        if not got[i].held_out:
-            before = [None, *words[i][:-1]]
-            pairs.update(zip(before, words[i], strict=True))
-            contexts.update(before)
-            count.update(words[i])
-    total, kinds, followers = sum(count.values()), len(count), Counter(h for h, _ in pairs)
-    for i, _ in docs:
-        want = 0.0
-        for h, w in zip([None, *words[i][:-1]], words[i], strict=True):
-            own = max(pairs[h, w] - ngram.DISCOUNT, 0) / contexts[h] if contexts[h] else 0.0
-            rest = ngram.DISCOUNT * followers[h] / contexts[h] if contexts[h] else 1.0
-            want += math.log10(own + rest * (count[w] + 0.5) / (total + 0.5 * (kinds + 1)))
-        assert abs(got[i].score - want) <= 0.03 * len(words[i])
+    check_scores([got[i] for i, _ in docs], docs)
