@@ -43,15 +43,12 @@ from .toxicity import fold
 PART_WORDS, PART_TOKENS, DISCOUNT, STEP = 1 << 20, 2_500_000, 0.75, 0.04
 #: Words that a worker remembers, distinct words and tokens that it gathers before it hands them on, tokens that are scored
 #: at once, characters of a long text that are split into words at once, slots of the tables of found pairs and triples.
-CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS = 250_000, 300_000, 1_000_000, 150_000, 500_000, 1 << 19
+CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS = 250_000, 300_000, 1_000_000, 250_000, 500_000, 1 << 20
 END = b" "  # no word holds a space
 _U = np.uint64
 #: Bits of a worker's own word numbers, three of which are one key: CACHE and the words of TOKENS tokens are fewer.
 OWN = 21
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_SELECT = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
-
 
 # -- bytes in the shared folder ---------------------------------------------------------------------------------
 
@@ -132,20 +129,24 @@ class EliasFano:
     """Vectorised access to an encoded sequence."""
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.low, self.bits, self.zeros = (arrays[f"{name}_{k}"] for k in ("low", "bits", "zeros"))
+        self.low, self.zeros = arrays[f"{name}_low"], arrays[f"{name}_zeros"]
+        self.bits = arrays[f"{name}_bits"].view("<u8")
         self.n, self.width = (int(x) for x in arrays[f"{name}_meta"])
         self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
-        """Place of bit number k (from 0): a one, or a zero if flip is 255."""
+        """Place of bit number k (from 0): a one, or a zero if flip is all ones."""
         word = np.searchsorted(before, k, "right") - 1
-        rest = k - before[word]
-        part = self.bits[word[:, None] * 8 + np.arange(8)] ^ np.uint8(flip)
-        sums = np.cumsum(_POP[part], axis=1, dtype=np.int64)
-        byte = (sums <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(byte > 0, sums[row, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[part[row, byte], rest]
+        rest, x = k - before[word], self.bits[word] ^ _U(flip)
+        at = word << 6
+        for half in (32, 16, 8, 4, 2, 1):  # into the half that holds the bit
+            low = np.bitwise_count(x & _U((1 << half) - 1)).astype(np.int64)
+            up = rest >= low
+            rest -= np.where(up, low, 0)
+            step = up * half
+            at += step
+            x = x >> step.astype(_U)
+        return at
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -159,6 +160,16 @@ class EliasFano:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, self.ones, 0) - i) << self.width) | self.lows(i)
 
+    def _run(self, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """How many ones stand from a place of the high bits on, where the zero number h ends them."""
+        word, off = np.minimum(place >> 6, len(self.bits) - 1), (place & 63).astype(_U)
+        following = self.bits[np.minimum(word + 1, len(self.bits) - 1)]
+        x = (self.bits[word] >> off) | np.where(off > 0, following << ((_U(64) - off) & _U(63)), _U(0))
+        n = np.bitwise_count(x & ~(x + _U(1))).astype(np.int64)
+        long = np.flatnonzero(n >= 32)  # the window may end before the run does
+        n[long] = self._select(h[long], self.zeros, 0xFFFFFFFFFFFFFFFF) - place[long]
+        return n
+
     def find(self, value: np.ndarray) -> np.ndarray:
         """Place of each value, -1 if it isn't in the sequence: its high part names a run, whose low parts are searched."""
         out = np.full(len(value), -1, np.int64)
@@ -166,10 +177,12 @@ class EliasFano:
         ok = np.flatnonzero((value >= 0) & (high < self.zeros[-1])) if self.n else np.zeros(0, np.int64)
         if not len(ok):
             return out
-        h = high[ok]
-        end = self._select(h, self.zeros, 255) - h
-        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, 255) - h + 1, 0)
-        stop, low = end.copy(), low[ok]
+        ok = ok[np.argsort(high[ok])]  # neighbours in memory one after another
+        h, low = high[ok], low[ok]
+        place = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, 0xFFFFFFFFFFFFFFFF) + 1, 0)
+        at = place - h
+        end = at + self._run(place, h)
+        stop = end.copy()
         alive = np.flatnonzero(at < stop)
         while len(alive):  # halves of the run: a frequent context's may be long
             mid = (at[alive] + stop[alive]) // 2
