@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by collision counting over single-projection sorted arrays.
 
-All rows are dealt by id into blocks of about BLOCK vectors, the queries into blocks of their own, and each pair of
-blocks meets in one task: that is the stated query set against all rows, in blocks, with bounded memory. Within a
-block, every random projection is one sorted array. A query opens a window around its own projection in each array;
+The queries are written to the shared folder in blocks. Rows stay where they are: a task takes its rows in blocks of
+BLOCK vectors, sorts every random projection of a block once into an array, and searches it for all blocks of queries:
+that is the stated query set against all rows, in blocks, with bounded memory, and no row is moved or repeated. A query opens a window around its own projection in each array;
 virtual rehashing widens all windows together from radius to radius. A vector that lies in the windows of at least
 THRESHOLD of the projections is verified by its cosine in double precision. The search of a block ends when as many
 verified vectors as asked for lie within the radius, or when the radius covers the sphere (then all are verified).
@@ -14,11 +14,16 @@ as another candidate unless it is the query's own; other columns are ignored; an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+from .ngram import get, put
+
 #: Vectors in a block of rows and in a block of queries; projections, and the share of them that a candidate collides in.
 BLOCK, QUERY_BLOCK, PROJECTIONS, THRESHOLD = 4096, 2048, 64, 0.52
 #: First radius (as a distance of unit vectors), factor from radius to radius, and the one that covers the sphere.
@@ -91,24 +96,49 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") > 0) & ~bad & F.exists("vector", lambda x: x != 0))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k nearest rows; both inputs hold id and vector."""
-    base, asked = valid(rows, id_col, vector_col), valid(queries, id_col, vector_col)
-    sizes = base.agg(F.count(F.lit(1)).alias("n")).first()["n"], asked.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    blocks, parts = (max(1, -(-n // per)) for n, per in zip(sizes, (BLOCK, QUERY_BLOCK), strict=True))
-    key = ("dim", "block", "part")
-    base = base.select("id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = asked.select("id", "vector", F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ("query_id", "vec_id", "score")
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        own = right.column("id").to_numpy()
-        found = Block(left.column("id").to_numpy(), _matrix(left)).search(own, _matrix(right), k)
-        ids = np.concatenate([f[0] for f in found])
-        return pa.table([pa.array(np.repeat(own, [len(f[0]) for f in found])), pa.array(ids), pa.array(np.concatenate([f[1] for f in found]))], names=names)
-
-    met = base.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
+    folder = shared_dir(rows.sparkSession)
+    asked = valid(queries, id_col, vector_col)
+    parts = max(1, -(-asked.count() // query_block))
+
+    def store(key: tuple, t: pa.Table) -> pa.Table:
+        dim, part = (v.as_py() for v in key)
+        put(f"{folder}/queries-{dim}-{part}", {"id": t.column("id").to_numpy(), "vector": _matrix(t).ravel()})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "part": pa.array([part], pa.int32())})
+
+    dealt = asked.withColumns({"dim": F.size("vector"), "part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")})
+    stored: dict[int, list[int]] = {}
+    for r in dealt.groupBy("dim", "part").applyInArrow(store, "dim int, part int").collect():
+        stored.setdefault(r["dim"], []).append(r["part"])
+    names = ("query_id", "vec_id", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def found(dim: int) -> Iterator[pa.RecordBatch]:
+            ids, vectors = (np.concatenate(p) for p in zip(*held.pop(dim), strict=True))
+            for at in range(0, len(ids), block):
+                index = Block(ids[at : at + block], vectors[at : at + block])
+                for part in stored[dim]:
+                    a = get(f"{folder}/queries-{dim}-{part}")
+                    best = index.search(a["id"], a["vector"].reshape(-1, dim), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a["id"], [len(f[0]) for f in best])), *[pa.array(np.concatenate([f[c] for f in best])) for c in (0, 1)]], names=names)
+
+        for b in batches:
+            ids, v = b.column(0).to_numpy(), b.column(1)
+            lengths = v.value_lengths().to_numpy()
+            for dim in np.unique(lengths):
+                own = np.flatnonzero(lengths == dim)
+                if dim not in stored:
+                    continue  # no query of this length
+                vectors = v.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                held.setdefault(int(dim), []).append((ids[own], vectors))
+                if sum(len(i) for i, _ in held[int(dim)]) >= block:
+                    yield from found(int(dim))
+        for dim in list(held):
+            yield from found(dim)
+
+    met = valid(rows, id_col, vector_col).mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

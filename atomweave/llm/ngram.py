@@ -670,17 +670,27 @@ class Scorer:
         return n_tokens, n_known, base, log
 
 
+_KEPT: dict[str, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """This worker's scorer of the model: what it knows of frequent pairs serves the next task too."""
+    if model.folder not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.folder] = Scorer(model)
+    return _KEPT[model.folder]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = _scorer(model)
         for b in batches:
             n_tokens, n_known, base, log = scorer.score(b.column(1).to_pylist())
             total = np.full(len(b), model.vocabulary.total, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (n_tokens, n_known, total, base, log))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        del scorer
         give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

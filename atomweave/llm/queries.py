@@ -63,4 +63,24 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_licenses, op3_toxicity, op4_pii, op5_html_text, op6_neighbours, op7_bpe, op8_minhash, op9_packing, op10_ngram)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_neighbours": """
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e))) as score
+  from v q join v c on q.vec_id % 50 = 0 and len(q.e) = len(c.e) and q.vec_id <> c.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op8_minhash": """
+with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [w] else list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3]) end) as s from words),
+shingles as (select doc_id, len(s) as n, unnest(s) as x from sets),
+common as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+links as (select a, b from common where 100 * c >= 80 * (na + nb - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from sets union select r.a, l.b from reach r join both_ways l on l.a = r.b),
+least_of as (select a as doc_id, min(b) as component_id from reach group by a)
+select s.doc_id, cast(len(s) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept from sets s join least_of l on l.doc_id = s.doc_id
+""",
+}

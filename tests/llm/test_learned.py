@@ -144,15 +144,15 @@ def test_open_heads_and_closed_drawings_hide_no_text():
     assert shown('<div><svg viewBox="0 0 1 1"/>One <b>two.</b></div>') == "One two." and shown("<div><svg><path d='m'/><text>no</text></svg>One two.<div/>three</div>") == "One two. three"
 
 
-@pytest.mark.parametrize("n", [3, 700])
-def test_neighbours(spark, n):
+@pytest.mark.parametrize(("n", "blocks"), [(3, {}), (700, {}), (1500, {"block": 90, "query_block": 7})])
+def test_neighbours(spark, n, blocks):
     rng = np.random.default_rng(n)
     x = rng.normal(0, 1, (n, 16)).astype(np.float32)
     x[: n // 3] = x[0]
-    rows = [(i, [float(v) for v in r], 7) for i, r in enumerate(x)] + [(1000, None, 7), (1001, [0.0] * 16, 7), (1002, [float("nan")] * 16, 7), (1003, [None] * 16, 7), (None, [1.0] * 16, 7), (1005, [1.0, 2.0], 7)]
+    rows = [(i, [float(v) for v in r], 7) for i, r in enumerate(x)] + [(10000, None, 7), (10050, [0.0] * 16, 7), (10100, [float("nan")] * 16, 7), (10150, [None] * 16, 7), (None, [1.0] * 16, 7), (10005, [1.0, 2.0], 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), 5).collect():
+    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), 5, **blocks).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     hits = want = 0
@@ -164,7 +164,7 @@ def test_neighbours(spark, n):
         assert [r for r, *_ in mine] == list(range(1, len(best) + 1)) and all(abs(v - u[i] @ u[q]) < 1e-12 for _, i, v in mine)
         hits += len({i for _, i, _ in mine} & set(best.tolist()))
         want += len(best)
-    assert hits / want >= 0.9 and not set(got) & {1000, 1001, 1002, 1003}
+    assert hits / want >= 0.9 and not set(got) & {10000, 10050, 10100, 10150}
     assert neighbours.search(df.where("false"), df.where("false"), 5).count() == 0
 
 
