@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, shared_dir, small_batches
+from .common import cut, give_back, remove, shared_dir, small_batches
 from .graph import components
 
 #: Bands of a signature and places in each.
@@ -211,6 +211,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     roots = cut(components(star, f"{folder}/star"), f"{folder}/roots")
     found = star.unionByName(cut(_inside_buckets(members, roots, known, links, percent, folder), f"{folder}/inside"))
     roots = cut(components(found, f"{folder}/all"), f"{folder}/components")
+    for done in ("members", "star", "roots", "inside", "open", "open-sets", "blocks", "all", *[f"verify{k}-{t}" for k in range(links.turn) for t in ("pairs", "sets", "linked")]):
+        remove(spark, f"{folder}/{done}")
     least = classes.join(roots, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     named = least.join(least.groupBy("root").agg(F.min("min_id").alias("component_id")), "root").select("node", "component_id")
     out = marked.select("doc_id", "n", "node").join(named, "node", "left")
@@ -276,7 +278,11 @@ def _inside_buckets(members: DataFrame, roots: DataFrame, known: DataFrame, link
 
 
 def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs but those whose id is in a group of near duplicates with a lesser id."""
+    """The rows of docs but those whose id is in a group of near duplicates with a lesser id.
+
+    Rows without an id and texts without words stay; repeated rows of one id stay or go together; columns of other names
+    pass through; an empty table stays empty.
+    """
     found = near_duplicates(docs, size, percent)
     gone = cut(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"), shared_dir(docs.sparkSession))
     small = gone.limit(BROADCAST + 1).count() <= BROADCAST

@@ -153,3 +153,44 @@ def test_pipeline(spark, make, rows, tmp_path):
         elif name == "personal_data":
             assert after[7000] == "write to [EMAIL] or [PHONE] today" and {i for i in before if before[i] != after[i]} == {7000}
     assert {r.doc_id for r in stage.collect()} == set(after)
+
+
+def test_stages_handle_odd_tables(spark, make, odd, odd_rows, empty, tmp_path):
+    """Nulls, repeats, long texts and clashing columns through every stage, and an empty table."""
+    spark.createDataFrame([(i, 1, i % 2) for i in range(14)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for df, n in ((odd, len(odd_rows)), (empty, 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(tmp_path))
+            rows = out.collect()
+            if name == "packing":
+                assert {r.doc_id for r in rows} == {r.doc_id for r in df.collect()}
+            else:
+                assert out.columns == df.columns and len(rows) <= n
+            if name == "near_duplicates":
+                assert len(rows) == n  # nothing here is alike under two ids
+            if name == "personal_data" and n:
+                seen = {r.doc_id: r for r in rows}
+                assert len(rows) == n and seen[1].text is None and seen[2].text == "" and "[EMAIL]" in seen[11].text and "10.0.0.256" in seen[11].text and seen[5].spans == "z"
+
+
+def test_pipeline_twice_in_one_session(spark, make, tmp_path):
+    docs = [(i, f"{'zork badly ' if i % 2 else 'good things '}{i} {i * 7} and more of it {i % 5}") for i in range(120)]
+    make(docs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    once, again = (sorted(corpus_pipeline.run(spark, str(tmp_path)).collect()) for _ in range(2))
+    assert once == again and once
+
+
+def test_loose_groups_lose_no_link(make):
+    """Groups in which one text is alike to all others, and the others mostly not to each other."""
+    rng = random.Random(12)
+    rows = []
+    for group in range(12):
+        hub = [f"g{group}w{k}" for k in range(600)]
+        for k in range(40):
+            w = list(hub)
+            for at in rng.sample(range(600), rng.randint(14, 16)) if k else ():
+                w[at] = f"x{rng.randint(0, 10**9)}"
+            rows.append((group * 1000 + rng.randint(0, 10**6) * 100_000 + k, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows), size=4).collect()}
+    assert got == {i: root for i, _, root in brute(rows, 4)}
