@@ -327,7 +327,7 @@ def closest_image(spark, sf_dir):
     return p.select("atom_idx", *[r6(v, c) for v, c in zip(q, "xyz", strict=True)])
 
 
-@query("select 1 as id, 0.8 as ex, round(sqrt(0.04 + 0.49), 6) as ey, round(sqrt(0.01 + 0.0225 + 0.36), 6) as ez, round(0.8 + 0.2 - 0.1, 6) as lx, round(0.7 + 0.15, 6) as ly, 0.6 as lz, round(0.8 * 0.7 * 0.6, 6) as volume, 1.6 as sx, round(0.7 * 3, 6) as sy")
+@query("select 1 as id, 0.8::double as ex, round(sqrt(0.04 + 0.49), 6) as ey, round(sqrt(0.01 + 0.0225 + 0.36), 6) as ez, 0.9::double as lx, 0.85::double as ly, 0.6::double as lz, round(0.8::double * 0.7 * 0.6, 6) as volume, 1.6::double as sx, round(0.7::double * 3, 6) as sy")
 def box_extents(spark, sf_dir):
     m = g.box([0.8, 0, 0, 0.2, 0.7, 0, -0.1, 0.15, 0.6])
     e, lab, s = g.extents(m), g.lab_extents(m), g.scale_vectors(m, (2, 3, 4))
@@ -489,7 +489,7 @@ def bilayer(spark: SparkSession) -> tuple[DataFrame, list[float]]:
     return a, [_SIDE * _SPACING, 0, 0, 0, _SIDE * _SPACING, 0, 0, 0, 9]
 
 
-_LIPIDS = f"with l as (select cast(i as bigint) as lipid_id, {_SPACING} * (i // {_SIDE}) as x, {_SPACING} * (i % {_SIDE}) as y from range({_SIDE * _SIDE}) t(i))"
+_LIPIDS = f"with l as (select cast(i as bigint) as lipid_id, cast({_SPACING} as double) * (i // {_SIDE}) as x, cast({_SPACING} as double) * (i % {_SIDE}) as y from range({_SIDE * _SIDE}) t(i))"
 
 
 def _lipids(spark: SparkSession) -> tuple[DataFrame, DataFrame, list[float]]:
@@ -508,7 +508,7 @@ _LATTICE = f"(({{0}} // {_SIDE}) - ({{1}} // {_SIDE}) + {_SIDE * 3 // 2}) % {_SI
 _LATTICE_Y = f"(({{0}} % {_SIDE}) - ({{1}} % {_SIDE}) + {_SIDE * 3 // 2}) % {_SIDE} - {_SIDE // 2}"
 
 
-@query(f"{_LIPIDS} select a.lipid_id as i, b.lipid_id as j, round({_SPACING} * ({_LATTICE.format('b.lipid_id', 'a.lipid_id')}), 6) as dx, round({_SPACING} * ({_LATTICE_Y.format('b.lipid_id', 'a.lipid_id')}), 6) as dy from l a, l b where a.lipid_id <> b.lipid_id and abs({_LATTICE.format('b.lipid_id', 'a.lipid_id')}) <= 1 and abs({_LATTICE_Y.format('b.lipid_id', 'a.lipid_id')}) <= 1")
+@query(f"{_LIPIDS} select a.lipid_id as i, b.lipid_id as j, round(cast({_SPACING} as double) * ({_LATTICE.format('b.lipid_id', 'a.lipid_id')}), 6) as dx, round(cast({_SPACING} as double) * ({_LATTICE_Y.format('b.lipid_id', 'a.lipid_id')}), 6) as dy from l a, l b where a.lipid_id <> b.lipid_id and abs({_LATTICE.format('b.lipid_id', 'a.lipid_id')}) <= 1 and abs({_LATTICE_Y.format('b.lipid_id', 'a.lipid_id')}) <= 1")
 def lipid_patches(spark, sf_dir):
     _, near, _ = _lipids(spark)
     return near.select("i", "j", (F.round("d.x", 6) + F.lit(0.0)).alias("dx"), (F.round("d.y", 6) + F.lit(0.0)).alias("dy"))
@@ -520,14 +520,14 @@ def lipid_normals(spark, sf_dir):
     return membrane.normals(lipids, near).select("lipid_id", *[(F.round(F.col(f"normal.{c}"), 5) + F.lit(0.0)).alias(f"n{c}") for c in "xyz"])
 
 
-@query(f"{_LIPIDS} select lipid_id, true as valid, round({_SPACING} * {_SPACING}, 5) as area, cast(0 as double) as mean_curvature, cast(0 as double) as gaussian_curvature from l")
+@query(f"{_LIPIDS} select lipid_id, true as valid, round(cast({_SPACING} as double) * cast({_SPACING} as double), 5) as area, cast(0 as double) as mean_curvature, cast(0 as double) as gaussian_curvature from l")
 def lipid_surface(spark, sf_dir):
     a, box = bilayer(spark)
     _, surface = membrane.analyse(a, membrane.read_config(_CONFIG), box)
     return surface.select("lipid_id", "valid", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("area", "mean_curvature", "gaussian_curvature")])
 
 
-@query(f"{_LIPIDS} select 'LIP' as species, count(*) as n, round({_SPACING} * {_SPACING}, 5) as area_mean, cast(0 as double) as tilt_mean from l")
+@query(f"{_LIPIDS} select 'LIP' as species, count(*) as n, round(cast({_SPACING} as double) * cast({_SPACING} as double), 5) as area_mean, cast(0 as double) as tilt_mean from l")
 def lipid_stats(spark, sf_dir):
     a, box = bilayer(spark)
     lipids, surface = membrane.analyse(a, membrane.read_config(_CONFIG), box)
