@@ -34,10 +34,20 @@ def split(df: DataFrame, value: Column | str, keys: Sequence[str] = ()) -> DataF
     return runs(df, value, "group_id", keys).where(F.col("group_id").isNotNull())
 
 
+#: Atoms of a bucket that ranges of atoms are met in.
+BUCKET = 4096
+
+
 def split_molecules(df: DataFrame, molecules: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Parts of a selection by molecule (inclusive ranges first_atom..last_atom): mol_idx as group_id."""
-    m = molecules.select(*[k for k in keys if k in molecules.columns], "mol_idx", F.explode(F.sequence("first_atom", "last_atom")).alias("atom_idx"))
-    return df.join(m, [*[k for k in keys if k in molecules.columns], "atom_idx"]).withColumnRenamed("mol_idx", "group_id")
+    """Parts of a selection by molecule (inclusive ranges first_atom..last_atom): mol_idx as group_id.
+
+    A range meets the atoms in the buckets that it reaches into: a row a bucket, not a row an atom.
+    """
+    on = [k for k in keys if k in molecules.columns]
+    reach = F.explode(F.sequence(F.floor(F.col("first_atom") / BUCKET), F.floor(F.col("last_atom") / BUCKET)))
+    m = molecules.select(*on, F.col("mol_idx").alias("group_id"), F.col("first_atom").alias("_first"), F.col("last_atom").alias("_last"), reach.alias("_bucket"))
+    met = df.withColumn("_bucket", F.floor(F.col("atom_idx") / BUCKET)).join(m, [*on, "_bucket"])
+    return met.where(F.col("atom_idx").between(F.col("_first"), F.col("_last"))).drop("_bucket", "_first", "_last")
 
 
 def apply_groups(df: DataFrame, fn: Callable, schema: str, keys: Sequence[str] = ("group_id",)) -> DataFrame:
