@@ -1,7 +1,7 @@
 """Media columns: ISO base media files as a binary column.
 
 ``mux`` stores bytes losslessly as the frames of one raw 8-bit video track, ``index`` walks the
-nested boxes of any such file, decodes the sample tables and returns codec, duration and the byte
+nested boxes of any such file, decodes the sample tables (of movie fragments too) and returns codec, duration and the byte
 ranges of the key frames, without touching the payload. ``payload`` reads the stored bytes back
 through the sample tables.
 
@@ -81,8 +81,8 @@ def mux(content: bytes) -> bytes:
     return ftyp + moov(head + 8) + _box(b"mdat", data)
 
 
-def walk(buf: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte of the content, end) of every box, depth first, without recursion."""
+def walk(buf: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, first byte, first byte of the content, end) of every box, depth first, without recursion."""
     todo = [(start, end, path)]
     while todo:
         at, stop, up = todo.pop()
@@ -100,7 +100,7 @@ def walk(buf: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) ->
             raise ValueError(f"box {kind!r} leaves its parent")
         if kind == b"uuid":
             head += 16
-        yield (*up, kind), at + head, at + size
+        yield (*up, kind), at, at + head, at + size
         todo.append((at + size, stop, up))
         if kind in CONTAINERS:
             todo.append((at + head, at + size, (*up, kind)))
@@ -112,17 +112,85 @@ def _numbers(buf: memoryview, at: int, end: int, dtype: str, n: int) -> np.ndarr
     return np.frombuffer(buf, dtype, n, at).astype(np.int64)
 
 
+#: Flags of a sample that isn't a key frame.
+_NO_KEY = 0x10000
+
+
+class Fragments:
+    """Samples of movie fragments, by track: runs of (offset, size, key, duration)."""
+
+    def __init__(self) -> None:
+        self.defaults: dict[int, tuple[int, int, int]] = {}  # duration, size, flags
+        self.runs: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.moof = self.next = self.base = self.track = 0
+        self.own: list[int] = [0, 0, 0]
+
+    def take(self, buf: memoryview, path: tuple[bytes, ...], start: int, at: int, end: int) -> None:
+        kind, flags = path[-1], 0
+        if kind in (b"trex", b"tfhd", b"trun"):
+            flags = struct.unpack_from(">I", buf, at)[0] & 0xFFFFFF
+        if kind == b"trex":
+            track, _, *values = struct.unpack_from(">5I", buf, at + 4)
+            self.defaults[track] = tuple(values)
+        elif kind == b"moof":
+            self.moof = self.next = start
+        elif kind == b"tfhd":
+            (self.track,) = struct.unpack_from(">I", buf, at + 4)
+            self.own, at = list(self.defaults.get(self.track, (0, 0, 0))), at + 8
+            self.base = self.moof if flags & 0x20000 else self.next
+            if flags & 1:
+                (self.base,), at = struct.unpack_from(">Q", buf, at), at + 8
+            at += 4 * bool(flags & 2)
+            for k, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    (self.own[k],), at = struct.unpack_from(">I", buf, at), at + 4
+            self.next = self.base
+        elif kind == b"trun":
+            (n,), at = struct.unpack_from(">I", buf, at + 4), at + 8
+            if flags & 1:
+                self.next, at = self.base + struct.unpack_from(">i", buf, at)[0], at + 4
+            first = None
+            if flags & 4:
+                (first,), at = struct.unpack_from(">I", buf, at), at + 4
+            given = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+            if not given[1] and (not self.own[1] or n * self.own[1] > len(buf)):
+                raise ValueError("samples are longer than the file")
+            table = _numbers(buf, at, end, ">u4", n * sum(given)).reshape(n, sum(given))
+            duration, size, marks = (table[:, sum(given[:k])] if given[k] else np.full(n, self.own[k], np.int64) for k in range(3))
+            if n and first is not None:
+                marks = np.concatenate(([first], marks[1:]))
+            self.runs.setdefault(self.track, []).append((self.next + np.cumsum(size) - size, size, marks & _NO_KEY == 0, duration))
+            self.next += int(size.sum())
+
+    def join(self, t: dict, length: int) -> None:
+        """Adds a track's samples to those of its tables."""
+        found = self.runs.get(t.get("id"))
+        if not found:
+            return
+        offset, size, key, duration = (np.concatenate(p) for p in zip(*found, strict=True))
+        if len(size) and (offset.min() < 0 or (offset + size).max() > length):
+            raise ValueError("a sample lies beyond the file")
+        t["key"] = np.concatenate((t["key"], np.flatnonzero(key) + len(t["size"])))
+        t["offset"], t["size"] = np.concatenate((t["offset"], offset)), np.concatenate((t["size"], size))
+        t["duration"] = t.get("duration", 0) or int(duration.sum())
+
+
 def tracks(media: bytes) -> list[dict]:
-    """Per track: codec, timescale, duration, and arrays offset, size, key (sample numbers from 0) of its samples."""
-    buf, out = memoryview(media), []
-    for path, at, end in walk(buf, 0, len(buf)):
+    """Per track: codec, timescale, duration, and arrays offset, size, key (sample numbers from 0) of its samples, those of fragments too."""
+    buf, out, fragments = memoryview(media), [], Fragments()
+    for path, start, at, end in walk(buf, 0, len(buf)):
         kind = path[-1]
+        if kind == b"moof" or path[0] == b"moof" or kind == b"trex":
+            fragments.take(buf, path, start, at, end)
+            continue
         if kind == b"trak":
             out.append({})
         if b"trak" not in path or len(path) < 3:
             continue
         t = out[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            (t["id"],) = struct.unpack_from(">I", buf, at + (20 if buf[at] == 1 else 12))
+        elif kind == b"mdhd":
             wide = buf[at] == 1
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", buf, at + (20 if wide else 12))
         elif kind == b"hdlr":
@@ -165,6 +233,8 @@ def tracks(media: bytes) -> list[dict]:
         t["key"] = t["stss"] if "stss" in t else np.arange(len(size))
         if len(t["key"]) and not 0 <= t["key"].min() <= t["key"].max() < len(size):
             raise ValueError("a key frame is no sample")
+        t["size"] = size
+        fragments.join(t, len(buf))
     return out
 
 

@@ -38,6 +38,29 @@ def test_other_layouts():
     assert d == {"codec": "avc1", "timescale": 90000, "duration": 1 << 33, "n_samples": 3, "key_offset": [100], "key_size": [30], "error": None}
 
 
+def test_fragments():
+    """A movie without samples and two fragments: sizes by sample and by default, offsets from the fragment and one after another."""
+
+    def box(kind, body):
+        return struct.pack(">I", len(body) + 8) + kind + body
+
+    full = lambda kind, flags, body: box(kind, struct.pack(">I", flags) + body)
+    tables = box(b"stbl", full(b"stsd", 0, struct.pack(">I", 1) + box(b"hvc1", bytes(78))) + full(b"stsz", 0, bytes(8)) + full(b"stsc", 0, bytes(4)) + full(b"stco", 0, bytes(4)))
+    mdia = box(b"mdia", full(b"mdhd", 0, struct.pack(">4I", 0, 0, 1000, 0)) + full(b"hdlr", 0, bytes(4) + b"vide") + box(b"minf", tables))
+    moov = box(b"moov", box(b"trak", full(b"tkhd", 0, struct.pack(">3I", 0, 0, 7)) + mdia) + box(b"mvex", full(b"trex", 0, struct.pack(">5I", 7, 1, 40, 5, 0x10000))))
+    runs = lambda offset: box(b"traf", full(b"tfhd", 0x20000, struct.pack(">I", 7)) + full(b"trun", 0x205, struct.pack(">IiI", 2, offset, 0) + struct.pack(">2I", 3, 4)) + full(b"trun", 0, struct.pack(">I", 2)))
+    moof = box(b"moof", full(b"mfhd", 0, bytes(4)) + runs(len(box(b"moof", full(b"mfhd", 0, bytes(4)) + runs(0))) + 8))
+    data = moov + moof + box(b"mdat", b"aaabbbbcccccddddd") + moof + box(b"mdat", b"AAABBBBCCCCCDDDDD")
+    d = media.describe(data)
+    first = [len(moov) + len(moof) + 8, len(moov) + 2 * len(moof) + 33]
+    assert d == {"codec": "hvc1", "timescale": 1000, "duration": 320, "n_samples": 8, "key_offset": first, "key_size": [3, 3], "error": None}
+    assert media.payload(data) == b"aaabbbbcccccdddddAAABBBBCCCCCDDDDD"
+    for cut in range(0, len(data), 5):
+        media.describe(data[:cut])
+    for at in range(0, len(data) - 4, 3):
+        media.describe(data[:at] + b"\xff\xff\xff\xff" + data[at + 4 :])
+
+
 def test_query(spark, odd, odd_rows, empty):
     got = media.store_and_read(odd).collect()
     assert len(got) == len(odd_rows)
