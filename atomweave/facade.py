@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .operators import measure, modify, sequence, spatial
 from .operators.selection import EmptySelectionError, select
-from .sources import files
+from .sources import binary, files
+from .sources import frames as by_frame
+from .sources.model import COORDS
 
 
 @dataclass(frozen=True)
@@ -30,8 +32,12 @@ class System:
     def open(cls, spark: SparkSession, path: str, trajectory: str | None = None) -> System:
         """Topology from path, coordinates from it or from a trajectory file."""
         atoms, bonds = files.read(spark, path, "atoms"), files.read(spark, path, "bonds")
-        coords = files.read(spark, trajectory or path, "coords")
-        frames = files.read(spark, trajectory or path, "frames").select("frame_idx", "box")
+        state = trajectory or path
+        if files.extension(state) in binary.INDEXES:  # by ranges of frames
+            coords = by_frame.read_frames(spark, state, [c.split()[0] for c in COORDS.split(", ")])
+            frames = by_frame.read_frames(spark, state, ("frame_idx", "box"))
+        else:
+            coords, frames = files.read(spark, state, "coords"), files.read(spark, state, "frames").select("frame_idx", "box")
         boxes = frames.select("box").distinct().limit(2).collect()
         box = boxes[0]["box"] if boxes else None
         if len(boxes) > 1:  # it changes: every row has its frame's

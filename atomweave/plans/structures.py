@@ -15,6 +15,7 @@ from ..functions import geometry as g
 from ..operators import alignment, commands, measure, membrane, modify, perception, secondary, sequence
 from ..operators.selection import BACKBONE, POLAR, PROTEIN, WATER, SelectionSyntaxError, parse, select
 from ..sources import files
+from ..sources import frames as by_frame
 from ..streaming import task
 from .catalogue import _D, _PXY, ORACLE_SQL, ORTHO, QUERIES, _xyz, query, r6
 from .views import ATOMS_SQL, POINTS_SQL, atoms, points
@@ -207,16 +208,54 @@ def _round_trip(kind: str, unit: float = 1.0):
     return run
 
 
-_FLOAT = "round(cast(cast({0} as float) as double), 6) as {0}"
-_ANGSTROM = "round(cast(cast({0} * 10 as float) as double) * 0.1, 6) as {0}"
+_FLOAT = "round(cast(cast({0} as float) as double), 6) + 0.0 as {0}"
+_PACKED = "round(round_even({0} * 1000, 0) / 1000, 6) + 0.0 as {0}"
+_ANGSTROM = "round(cast(cast({0} * 10 as float) as double) * 0.1, 6) + 0.0 as {0}"
 for _kind, _as in {
-    "trr": _FLOAT, "dcd": _ANGSTROM, "nc": _ANGSTROM, "xtc": "round(round_even({0} * 1000, 0) / 1000, 6) as {0}", "gro": "round(round({0}, 3), 6) as {0}",
-    "pdb": "round(round({0} * 10, 3) * 0.1, 6) as {0}", "xyz": "round({0} * 10, 6) as {0}",
+    "trr": _FLOAT, "dcd": _ANGSTROM, "nc": _ANGSTROM, "xtc": _PACKED, "gro": "round(round({0}, 3), 6) + 0.0 as {0}",
+    "pdb": "round(round({0} * 10, 3) * 0.1, 6) + 0.0 as {0}", "xyz": "round({0} * 10, 6) + 0.0 as {0}",
 }.items():
     QUERIES[f"file_{_kind}"] = _round_trip(_kind, 10.0 if _kind == "xyz" else 1.0)
     ORACLE_SQL[f"file_{_kind}"] = f"{TRAJECTORY_SQL} select frame_idx, atom_idx, {', '.join(_as.format(c) for c in 'xyz')} from traj"
 
 
+def _written(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    own, coords, frames = trajectory(spark, sf_dir)
+    path = f"{folder(spark)}/t.{kind}"
+    files.write(path, own, coords, frames)
+    return path
+
+
+#: What is taken of a file's index of frames, and the same over the table.
+_TAKEN = {
+    "window": ("xtc", lambda i: task.FrameWindow("2", "14ps", 2).apply(i, ["path"]), "frame_idx >= 2 and frame_idx * 2.0 <= 14 and (frame_idx - 2) % 2 = 0"),
+    "seek": ("dcd", lambda i: task.seek_time(i, 5.0), "frame_idx = 3"),
+    "last": ("nc", task.last_frame, "frame_idx = 9"),
+    "ranges": ("trr", None, "true"),
+}
+
+
+def _frames_of_file(name: str):
+    kind, chosen, _ = _TAKEN[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = by_frame.read_frames(spark, _written(spark, sf_dir, kind), ("frame_idx", "time", "atom_idx", "x", "z"), chosen)
+        return got.select("frame_idx", "time", "atom_idx", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
+
+    return run
+
+
+for _name, (_kind, _, _where) in _TAKEN.items():
+    _as = {"xtc": _PACKED, "trr": _FLOAT}.get(_kind, _ANGSTROM)
+    QUERIES[f"file_frames_{_name}"] = _frames_of_file(_name)
+    ORACLE_SQL[f"file_frames_{_name}"] = f"{TRAJECTORY_SQL} select frame_idx, frame_idx * 2.0::double as time, atom_idx, {_as.format('x')}, {_as.format('z')} from traj where {_where}"
+
+
+@query(f"{TRAJECTORY_SQL} select count(*) as frames, max(frame_idx) * 2.0::double as last_time, sum(n * 12 + 120)::bigint as bytes from (select frame_idx, count(*) as n from traj group by frame_idx)")
+def file_statistics(spark, sf_dir):
+    return by_frame.statistics(by_frame.frame_index(spark, _written(spark, sf_dir, "trr"))).drop("path")
+
+
 @query(f"{TRAJECTORY_SQL} select frame_idx, frame_idx * 2.0::double as time, round(cast(0.8 as float)::double, 6) as a from traj where atom_idx = 0")
 def file_frames(spark, sf_dir):
     own, coords, frames = trajectory(spark, sf_dir)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO, NamedTuple
 
 import numpy as np
 
@@ -204,68 +207,122 @@ def write_xtc(frames: list[Frame], first_step: int = 0, precision: float = 1000.
 # -- DCD: records of a Fortran program, either byte order ----------------------------------------------------------
 
 
-def read_dcd(data: bytes) -> Structure:
-    end = "<" if data[:4] == struct.pack("<i", 84) else ">"
-    if struct.unpack_from(end + "i", data, 0)[0] != 84 or data[4:8] != b"CORD":
+class _DcdHead(NamedTuple):
+    """What the head of a DCD file says; size: its bytes."""
+
+    order: str
+    start: int
+    every: int
+    delta: float
+    natoms: int
+    free: np.ndarray | None  # of later frames, where other atoms stay as in the first
+    cell: bool
+    fourth: bool
+    size: int
+
+    def frame_bytes(self, first: bool) -> int:
+        n = self.natoms if first or self.free is None else len(self.free)
+        return 56 * self.cell + (3 + self.fourth) * (4 * n + 8)
+
+
+class CutShortError(FormatError):
+    """The bytes end within a record."""
+
+
+def _dcd_record(data: bytes, at: int, order: str) -> tuple[bytes, int]:
+    """The record at a place, and the place behind it."""
+    (n,) = struct.unpack_from(order + "i", data, at)
+    body = data[at + 4 : at + 4 + n]
+    if len(body) < n:
+        raise CutShortError("a DCD record is cut short")
+    if n < 0 or struct.unpack_from(order + "i", data, at + 4 + n)[0] != n:
+        raise FormatError("a DCD record is damaged")
+    return body, at + n + 8
+
+
+def _dcd_head(data: bytes) -> _DcdHead:
+    order = "<" if data[:4] == struct.pack("<i", 84) else ">"
+    if struct.unpack_from(order + "i", data, 0)[0] != 84 or data[4:8] != b"CORD":
         raise FormatError("not a DCD file")
-    at = 0
+    head, at = _dcd_record(data, 0, order)
+    number = lambda k: struct.unpack_from(order + "i", head, 4 + 4 * k)[0]
+    charmm = number(19)
+    delta = struct.unpack_from(order + ("f" if charmm else "d"), head, 40)[0]
+    _, at = _dcd_record(data, at, order)
+    count, at = _dcd_record(data, at, order)
+    free = None
+    if number(8):
+        listed, at = _dcd_record(data, at, order)
+        free = np.frombuffer(listed, order + "i4") - 1
+    return _DcdHead(order, number(1), number(2), delta, struct.unpack(order + "i", count)[0], free, bool(charmm and number(10)), bool(charmm and number(11)), at)
+
+
+def read_dcd(data: bytes) -> Structure:
+    head = _dcd_head(data)
+    at = head.size
 
     def record() -> bytes:
         nonlocal at
-        (n,) = struct.unpack_from(end + "i", data, at)
-        body = data[at + 4 : at + 4 + n]
-        if len(body) < n or struct.unpack_from(end + "i", data, at + 4 + n)[0] != n:
-            raise FormatError("a DCD record is damaged")
-        at += n + 8
+        body, at = _dcd_record(data, at, head.order)
         return body
 
-    head = record()
-    number = lambda k: struct.unpack_from(end + "i", head, 4 + 4 * k)[0]
-    start, every, fixed, cell, four, charmm = number(1), number(2), number(8), number(10), number(11), number(19)
-    delta = struct.unpack_from(end + ("f" if charmm else "d"), head, 40)[0]
-    record()
-    (natoms,) = struct.unpack(end + "i", record())
-    free = np.frombuffer(record(), end + "i4") - 1 if fixed else None
     out, base = Structure(), None
     while at < len(data):
         box = None
-        if charmm and cell:
-            a, g, b, bt, al, c = struct.unpack(end + "6d", record())
+        if head.cell:
+            a, g, b, bt, al, c = struct.unpack(head.order + "6d", record())
             if a:
                 angles = [np.degrees(np.arccos(v)) if abs(v) <= 1 else v for v in (al, bt, g)]
                 box = from_lengths_angles(a * 0.1, b * 0.1, c * 0.1, *(round(float(v), 9) for v in angles))
-        xyz = np.stack([np.frombuffer(record(), end + "f4") for _ in range(3)], axis=1).astype(float) * 0.1
-        if charmm and four:
+        xyz = np.stack([np.frombuffer(record(), head.order + "f4") for _ in range(3)], axis=1).astype(float) * 0.1
+        if head.fourth:
             record()
-        if free is not None and base is not None:
+        if head.free is not None and base is not None:
             whole = base.copy()
-            whole[free] = xyz
+            whole[head.free] = xyz
             xyz = whole
         elif base is None:
             base = xyz
-        if len(xyz) != natoms:
+        if len(xyz) != head.natoms:
             raise FormatError("a DCD frame has another number of atoms")
-        out.frames.append(Frame((start + len(out.frames) * every) * delta, box, xyz))
+        out.frames.append(Frame((head.start + len(out.frames) * head.every) * head.delta, box, xyz))
     return out
 
 
-def write_dcd(frames: list[Frame]) -> bytes:
-    """Little-endian, with a unit cell in every frame."""
+def stream_dcd(frames: Iterable[Frame], out: BinaryIO) -> int:
+    """Little-endian, with a unit cell in every frame; one frame is held, their number and step go into the head at the end."""
     record = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
-    step = frames[1].time - frames[0].time if len(frames) > 1 else 0.0
-    numbers = [len(frames), 0, 1, 0, 0, 0, 0, 0, 0]
-    head = b"CORD" + struct.pack("<9i", *numbers) + struct.pack("<f", step) + struct.pack("<10i", 1, 0, 0, 0, 0, 0, 0, 0, 0, 24)
-    out = [record(head), record(struct.pack("<i", 1) + b" " * 80), record(struct.pack("<i", len(frames[0].xyz) if frames else 0))]
-    for f in frames:
+
+    def head(n: int, step: float, natoms: int) -> bytes:
+        first = b"CORD" + struct.pack("<9i", n, 0, 1, 0, 0, 0, 0, 0, 0) + struct.pack("<f", step) + struct.pack("<10i", 1, 0, 0, 0, 0, 0, 0, 0, 0, 24)
+        return record(first) + record(struct.pack("<i", 1) + b" " * 80) + record(struct.pack("<i", natoms))
+
+    n, natoms, began, step = 0, 0, 0.0, 0.0
+    for n, f in enumerate(frames, 1):
+        if n == 1:
+            natoms, began = len(f.xyz), f.time
+            out.write(head(0, 0.0, natoms))
+        elif n == 2:
+            step = f.time - began
         cell = [0.0] * 6
         if f.box is not None:
             v = np.array(f.box).reshape(3, 3)
-            n = np.linalg.norm(v, axis=1)
-            cos = lambda i, j: float(v[i] @ v[j] / n[i] / n[j])  # noqa: B023, E731
-            cell = [n[0] * 10, cos(0, 1), n[1] * 10, cos(0, 2), cos(1, 2), n[2] * 10]
-        out.append(record(struct.pack("<6d", *cell)))
-        out += [record((f.xyz[:, k] * 10).astype("<f4").tobytes()) for k in range(3)]
-    return b"".join(out)
+            m = np.linalg.norm(v, axis=1)
+            cos = lambda i, j: float(v[i] @ v[j] / m[i] / m[j])  # noqa: B023, E731
+            cell = [m[0] * 10, cos(0, 1), m[1] * 10, cos(0, 2), cos(1, 2), m[2] * 10]
+        out.write(record(struct.pack("<6d", *cell)))
+        for k in range(3):
+            out.write(record((f.xyz[:, k] * 10).astype("<f4").tobytes()))
+    out.seek(0)
+    out.write(head(n, step, natoms))
+    out.seek(0, io.SEEK_END)
+    return n
+
+
+def write_dcd(frames: list[Frame]) -> bytes:
+    out = io.BytesIO()
+    stream_dcd(frames, out)
+    return out.getvalue()
 
 
 # -- NetCDF classic, AMBER convention ------------------------------------------------------------------------------
@@ -273,7 +330,16 @@ def write_dcd(frames: list[Frame]) -> bytes:
 _NC_TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 
 
-def read_netcdf(data: bytes) -> Structure:
+class _NcLayout(NamedTuple):
+    """Variables (dimensions, type, bytes a record, place), number and bytes of records, and where the first begins."""
+
+    variables: dict
+    records: int
+    record: int
+    first: int
+
+
+def _netcdf_layout(data: bytes) -> _NcLayout:
     if data[:3] != b"CDF" or data[3] not in (1, 2):
         raise FormatError("not a classic NetCDF file")
     at, offset = 4, ">q" if data[3] == 2 else ">i"
@@ -314,7 +380,12 @@ def read_netcdf(data: bytes) -> Structure:
         attributes()
         kind, size = number(), number()
         variables[key] = (shape, np.dtype(_NC_TYPES[kind]), size, number(offset))
-    record = sum(v[2] for v in variables.values() if v[0] and v[0][0][1] == 0)
+    moving = [v for v in variables.values() if v[0] and v[0][0][1] == 0]
+    return _NcLayout(variables, records, sum(v[2] for v in moving), min((v[3] for v in moving), default=len(data)))
+
+
+def read_netcdf(data: bytes) -> Structure:
+    variables, records, record, _ = _netcdf_layout(data)
 
     def value(key: str, k: int) -> np.ndarray | None:
         if key not in variables:
@@ -334,9 +405,11 @@ def read_netcdf(data: bytes) -> Structure:
     return out
 
 
-def write_netcdf(frames: list[Frame]) -> bytes:
-    n = len(frames[0].xyz) if frames else 0
-    boxed = all(f.box is not None for f in frames) and bool(frames)
+def stream_netcdf(frames: Iterable[Frame], out: BinaryIO, boxed: bool) -> int:
+    """One frame is held, their number goes into the head at the end; boxed: every frame has a box, and boxes are written."""
+    frames = iter(frames)
+    first = next(frames, None)
+    n = len(first.xyz) if first else 0
     pad = lambda b: b + bytes(-len(b) % 4)
     name = lambda s: struct.pack(">i", len(s)) + pad(s.encode())
     text = lambda k, v: name(k) + struct.pack(">2i", 2, len(v)) + pad(v.encode())
@@ -348,7 +421,7 @@ def write_netcdf(frames: list[Frame]) -> bytes:
     globals_ = [("Conventions", "AMBER"), ("ConventionVersion", "1.0"), ("program", "atomweave"), ("programVersion", "0.1")]
 
     def head(begin: int) -> bytes:
-        out = [b"CDF\x02", struct.pack(">i", len(frames)), struct.pack(">2i", 10, len(dims)), *[name(d) + struct.pack(">i", k) for d, k in dims]]
+        out = [b"CDF\x02", struct.pack(">i", 0), struct.pack(">2i", 10, len(dims)), *[name(d) + struct.pack(">i", k) for d, k in dims]]
         out += [struct.pack(">2i", 12, len(globals_)), *[text(*g) for g in globals_], struct.pack(">2i", 11, len(items))]
         for key, shape, kind, attrs in items:
             code = {">f4": 5, ">f8": 6}[kind]
@@ -356,12 +429,142 @@ def write_netcdf(frames: list[Frame]) -> bytes:
             begin += sizes[key]
         return b"".join(out)
 
-    out = [head(len(head(0)))]
-    for f in frames:
-        out += [np.array(f.time, ">f4").tobytes(), (f.xyz * 10).astype(">f4").tobytes()]
+    out.write(head(len(head(0))))
+    k = 0
+    for k, f in enumerate(itertools.chain([first], frames) if first else (), 1):
+        out.write(np.array(f.time, ">f4").tobytes() + (f.xyz * 10).astype(">f4").tobytes())
         if boxed:
             v = np.array(f.box).reshape(3, 3)
             m = np.linalg.norm(v, axis=1)
-            out.append((m * 10).astype(">f8").tobytes())
-            out.append(np.array([np.degrees(np.arccos(v[i] @ v[j] / m[i] / m[j])) for i, j in ((1, 2), (0, 2), (0, 1))], ">f8").tobytes())
-    return b"".join(out)
+            out.write((m * 10).astype(">f8").tobytes())
+            out.write(np.array([np.degrees(np.arccos(v[i] @ v[j] / m[i] / m[j])) for i, j in ((1, 2), (0, 2), (0, 1))], ">f8").tobytes())
+    out.seek(4)
+    out.write(struct.pack(">i", k))
+    out.seek(0, io.SEEK_END)
+    return k
+
+
+def write_netcdf(frames: list[Frame]) -> bytes:
+    out = io.BytesIO()
+    stream_netcdf(frames, out, bool(frames) and all(f.box is not None for f in frames))
+    return out.getvalue()
+
+
+# -- where frames stand, from heads alone --------------------------------------------------------------------------
+
+#: Time, place and bytes of a frame.
+Place = tuple[float, int, int]
+
+
+def _first(f: BinaryIO, parse: Callable[[bytes], NamedTuple], size: int) -> NamedTuple:
+    """parse over as much of the beginning of a file as it needs."""
+    n = 1 << 16
+    while True:
+        f.seek(0)
+        data = f.read(n)
+        try:
+            return parse(data)
+        except (struct.error, IndexError, UnicodeDecodeError, CutShortError):
+            if n >= size:
+                raise
+            n *= 8
+
+
+def _whole(place: Place, size: int) -> Place:
+    if place[1] + place[2] > size:
+        raise FormatError("a frame is cut short")
+    return place
+
+
+def _index_trr(f: BinaryIO, size: int) -> Iterator[Place]:
+    at = 0
+    while at < size:
+        f.seek(at)
+        head = f.read(12)
+        if len(head) < 12 or struct.unpack_from(">i", head)[0] != _TRR_MAGIC:
+            raise FormatError("not a TRR frame")
+        n = struct.unpack_from(">3i", head)[2] + 3 & ~3
+        head = f.read(n + 68)
+        if len(head) < n + 60:
+            raise FormatError("a frame is cut short")
+        ir, e, box, vir, pres, top, sym, x, v, w, natoms, _, _ = struct.unpack_from(">13i", head, n)
+        width = box // 9 if box else (x or v or w) // (3 * max(1, natoms))
+        if width not in (4, 8) or len(head) < n + 52 + width:
+            raise FormatError("TRR numbers have 4 or 8 bytes")
+        time = struct.unpack_from(">d" if width == 8 else ">f", head, n + 52)[0]
+        here = _whole((time, at, 64 + n + 2 * width + box + ir + e + vir + pres + top + sym + x + v + w), size)
+        yield here
+        at += here[2]
+
+
+def _index_xtc(f: BinaryIO, size: int) -> Iterator[Place]:
+    at = 0
+    while at < size:
+        f.seek(at)
+        head = f.read(100)
+        if len(head) < 56:
+            raise FormatError("a frame is cut short")
+        magic, natoms, _, time = struct.unpack_from(">3if", head)
+        if magic not in (_XTC_MAGIC, _XTC_LONG):
+            raise FormatError("not an XTC frame")
+        if natoms <= 9:
+            length = 56 + 12 * natoms
+        else:
+            kind = ">q" if magic == _XTC_LONG else ">i"
+            if len(head) < 88 + struct.calcsize(kind):
+                raise FormatError("a frame is cut short")
+            (packed,) = struct.unpack_from(kind, head, 88)
+            length = 88 + struct.calcsize(kind) + packed + -packed % 4
+        here = _whole((time, at, length), size)
+        yield here
+        at += length
+
+
+def _index_dcd(f: BinaryIO, size: int) -> Iterator[Place]:
+    head: _DcdHead = _first(f, _dcd_head, size)
+    at, k = head.size, 0
+    while at < size:
+        length = head.frame_bytes(k == 0)
+        yield _whole(((head.start + k * head.every) * head.delta, at, length), size)
+        at, k = at + length, k + 1
+
+
+def _index_netcdf(f: BinaryIO, size: int) -> Iterator[Place]:
+    layout: _NcLayout = _first(f, _netcdf_layout, size)
+    for k in range(layout.records):
+        at, time = layout.first + k * layout.record, float(k)
+        here = _whole((time, at, layout.record), size)
+        if "time" in layout.variables:
+            _, kind, _, begin = layout.variables["time"]
+            f.seek(begin + k * layout.record)
+            time = float(np.frombuffer(f.read(kind.itemsize), kind)[0])
+        yield (time, *here[1:])
+
+
+INDEXES: dict[str, Callable[[BinaryIO, int], Iterator[Place]]] = {"trr": _index_trr, "xtc": _index_xtc, "dcd": _index_dcd, "nc": _index_netcdf, "ncdf": _index_netcdf}
+
+
+def opening(f: BinaryIO, kind: str, size: int) -> bytes:
+    """What decode needs of a file besides a frame's own bytes."""
+    if kind in ("trr", "xtc"):
+        return b""
+    if kind == "dcd":
+        head: _DcdHead = _first(f, _dcd_head, size)
+        n = head.size + (head.frame_bytes(True) if head.free is not None else 0)
+    else:
+        n = _first(f, _netcdf_layout, size).first
+    f.seek(0)
+    return f.read(n)
+
+
+def decode(kind: str, before: bytes, body: bytes, parts: str = "xvf") -> Frame:
+    """The frame that body is, in a file that begins with before (see opening)."""
+    if kind == "trr":
+        return next(trr_frames(body, parts))
+    if kind == "xtc":
+        return next(xtc_frames(body))
+    if kind == "dcd":
+        head = _dcd_head(before)
+        first = before[head.size :]  # with atoms that stay: the first frame, which later ones build on
+        return read_dcd(before if first == body else before + body).frames[-1]
+    return read_netcdf(before[:4] + struct.pack(">i", 1) + before[8:] + body).frames[0]

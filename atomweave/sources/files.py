@@ -2,7 +2,8 @@
 
 Reading is distributed by file through Spark's own file reader, so any store that Spark reaches will do: every row of
 the result carries the path, and parsing happens in the tasks. Only the table asked for leaves them. Writing makes
-the bytes of each frame in parallel and streams them into one file in order.
+the bytes of each frame in parallel and streams them into one file in order. Trajectories of many frames are read by
+ranges of frames in module frames instead.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ _TEXT = {"pdb": text.read_pdb, "ent": text.read_pdb, "gro": text.read_gro, "xyz"
 _BINARY = {"xtc": binary.read_xtc, "trr": binary.read_trr, "dcd": binary.read_dcd, "nc": binary.read_netcdf, "ncdf": binary.read_netcdf}
 _MOLECULES = ("sdf", "sd", "mol")
 WRITERS = {"pdb": text.write_pdb, "ent": text.write_pdb, "gro": text.write_gro, "xyz": text.write_xyz, "sdf": text.write_sdf, "sd": text.write_sdf, "mol": lambda s: text.write_sdf(s, close=False)}
-BINARY_WRITERS = {"xtc": binary.write_xtc, "trr": binary.write_trr, "dcd": binary.write_dcd, "nc": binary.write_netcdf}
+BINARY_WRITERS = {"xtc": binary.write_xtc, "trr": binary.write_trr, "dcd": binary.write_dcd, "nc": binary.write_netcdf}  # write() streams the last two
 
 
 def extension(path: str) -> str:
@@ -92,6 +93,11 @@ def _structure(row) -> Structure:
     return Structure(rows, [], [Frame(row["time"] or 0.0, row["box"], xyz, velocity, force)])
 
 
+def _boxed(coords: DataFrame, frames: DataFrame) -> bool:
+    """Whether every frame of coords has a box."""
+    return coords.select("frame_idx").distinct().join(frames.where("box is not null"), "frame_idx", "left_anti").isEmpty()
+
+
 def write(path: str, atoms: DataFrame, coords: DataFrame, frames: DataFrame | None = None, bonds: DataFrame | None = None) -> int:
     """Writes a file of the kind that path ends in and returns the number of frames; one frame is in memory at a time."""
     kind = extension(path)
@@ -100,11 +106,10 @@ def write(path: str, atoms: DataFrame, coords: DataFrame, frames: DataFrame | No
     rows = frames_of(atoms, coords, frames).orderBy("frame_idx").toLocalIterator()
     pairs = [(r["i1"], r["i2"], r["order"]) for r in bonds.orderBy("bond_idx").toLocalIterator()] if bonds is not None else []
     n = 0
-    if kind in ("dcd", "nc"):  # their headers count the frames
-        every = [_structure(r).frames[0] for r in rows]
+    if kind in ("dcd", "nc"):  # their heads count the frames and are written again at the end
+        every = (_structure(r).frames[0] for r in rows)
         with open(path, "wb") as f:
-            f.write(BINARY_WRITERS[kind](every))
-        return len(every)
+            return binary.stream_dcd(every, f) if kind == "dcd" else binary.stream_netcdf(every, f, frames is not None and _boxed(coords, frames))
     with open(path, "wb") as f:
         for n, r in enumerate(rows, 1):
             s = _structure(r)

@@ -20,7 +20,7 @@ def plain(rows):
     return sorted((tuple(0.0 if v == 0 else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["sel_chain", "sel_within_open", "sel_com_of", "set_union", "split_runs", "dist_single", "dist_single_pbc", "dist_vdw", "com", "com_pbc", "inertia_tensor", "histogram", "replicate", "frames_begin_end_skip", "guess_elements", "sel_polh", "sel_within_self", "file_xtc", "file_dcd", "file_ndx", "system_sets", "frames_stream", "rearrange", "tip3_to_tip4", "hydrogen_bonds", "lipid_patches", "fit_matching"])
+@pytest.mark.parametrize("name", ["sel_chain", "sel_within_open", "sel_com_of", "set_union", "split_runs", "dist_single", "dist_single_pbc", "dist_vdw", "com", "com_pbc", "inertia_tensor", "histogram", "replicate", "frames_begin_end_skip", "guess_elements", "sel_polh", "sel_within_self", "file_xtc", "file_dcd", "file_ndx", "file_frames_window", "file_frames_seek", "file_frames_last", "file_frames_ranges", "file_statistics", "system_sets", "frames_stream", "rearrange", "tip3_to_tip4", "hydrogen_bonds", "lipid_patches", "fit_matching"])
 def test_same_rows_as_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)

@@ -1,11 +1,16 @@
+import os
+import struct
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from atomweave.operators import membrane, perception, secondary
 from atomweave.sources import binary, files, text
+from atomweave.sources import frames as trajectories
 from atomweave.sources.model import FormatError, Frame, Structure
-from atomweave.streaming.task import FrameWindow, concatenate, parse_suffix
+from atomweave.streaming.task import FrameWindow, concatenate, last_frame, parse_suffix, seek_time
 
 def frames(n=3, atoms=5):
     rng = np.random.default_rng(1)
@@ -233,3 +238,58 @@ def test_stream(spark, tmp_path):
     task.stream(frame_stream(spark, source, spark.read.parquet(source).schema), lambda df, _: seen.update({r.frame_idx: r.x for r in df.collect()}), str(tmp_path / "check")).awaitTermination()
     assert sorted(seen) == [2, 3, 4, 5, 6, 7] and seen[2] == 9.5
     assert {r.frame_idx: r.x for r in task.run(spark.read.parquet(source)).collect()} == seen
+
+
+def test_frames_by_range(spark, tmp_path):
+    f = frames(150, 12)
+    for kind, write in files.BINARY_WRITERS.items():
+        path = str(tmp_path / f"t.{kind}")
+        with open(path, "wb") as out:
+            out.write(write(f))
+        whole = files.parse(open(path, "rb").read(), kind)[0].frames
+        rows = trajectories.read_frames(spark, path, ("frame_idx", "time", "atom_idx", "x", "vz", "fx"), task_bytes=2000).orderBy("frame_idx", "atom_idx").collect()
+        assert len(rows) == 150 * 12 and all(r.fx is None for r in rows)
+        assert [r.x for r in rows] == [v for w in whole for v in w.xyz[:, 0]] and [r.time for r in rows[::12]] == [w.time for w in whole]
+        assert (rows[5].vz is not None) == (kind == "trr")
+        boxes = trajectories.read_frames(spark, path, ("frame_idx", "box"), lambda i: FrameWindow("10", "16", 2).apply(i, ["path"])).orderBy("frame_idx").collect()
+        assert [(r.frame_idx, r.box) for r in boxes] == [(k, whole[k].box) for k in (10, 12, 14)]
+        assert trajectories.read_frames(spark, path, ("frame_idx",), last_frame).first().frame_idx == 149
+        assert trajectories.read_frames(spark, path, ("frame_idx",), lambda i: seek_time(i, 7.0)).first().frame_idx == 4
+        assert trajectories.read_frames(spark, path, ("frame_idx", "atom_idx"), F.col("frame_idx") > 148).count() == 12
+        stats = trajectories.statistics(trajectories.frame_index(spark, path)).first()
+        assert (stats.frames, round(stats.last_time, 3)) == (150, 298.0)
+        with open(path, "r+b") as cut:
+            cut.truncate(os.path.getsize(path) - 5)
+        assert trajectories.frame_index(spark, path, "PERMISSIVE").count() == 149
+        with pytest.raises(Exception, match="cut short"):
+            trajectories.frame_index(spark, path).collect()
+        with open(path, "wb") as out:
+            out.write(b"junk" * 30)
+        assert trajectories.read_frames(spark, path, mode="PERMISSIVE").count() == 0
+
+
+def test_frames_with_fixed_atoms(spark, tmp_path):
+    """A DCD whose later frames hold free atoms only."""
+    record = lambda b: struct.pack("<i", len(bytes(b))) + bytes(b) + struct.pack("<i", len(bytes(b)))
+    head = b"CORD" + struct.pack("<9i", 3, 4, 2, 0, 0, 0, 0, 0, 3) + struct.pack("<f", 0.5) + struct.pack("<10i", 0, 0, 0, 0, 0, 0, 0, 0, 0, 24)
+    body = [record(head), record(bytes(84)), record(struct.pack("<i", 5)), record(struct.pack("<2i", 2, 4))]
+    body += [record(np.arange(5, dtype="<f4") + k) for k in range(3)]
+    body += [record(np.array([v, v + 1], "<f4")) for v in (10, 20, 30, 40, 50, 60)]
+    (tmp_path / "t.dcd").write_bytes(b"".join(body))
+    want = {(0, i): i for i in range(5)} | {(k, i): i for k in (1, 2) for i in (0, 2, 4)} | {(1, 1): 10, (1, 3): 11, (2, 1): 40, (2, 3): 41}
+    got = trajectories.read_frames(spark, str(tmp_path), ("frame_idx", "time", "atom_idx", "x")).collect()
+    assert {(r.frame_idx, r.atom_idx): round(r.x * 10, 5) for r in got} == want and {r.time for r in got} == {2.0, 3.0, 4.0}
+    late = trajectories.read_frames(spark, str(tmp_path), ("frame_idx", "atom_idx", "x"), F.col("frame_idx") == 2).collect()
+    assert {(r.frame_idx, r.atom_idx): round(r.x * 10, 5) for r in late} == {k: v for k, v in want.items() if k[0] == 2}
+
+
+def test_streamed_writers(spark, tmp_path):
+    """Heads that count frames are right, with and without boxes, and without frames."""
+    for boxes in ((True, True), (True, False)):
+        f = [Frame(2.0 * k, [3.0, 0, 0, 0, 2.5, 0, 0, 0, 2.0] if b else None, np.full((4, 3), k + 1.0)) for k, b in enumerate(boxes)]
+        for write, read in ((binary.write_dcd, binary.read_dcd), (binary.write_netcdf, binary.read_netcdf)):
+            got = read(write(f)).frames
+            assert [len(g.xyz) for g in got] == [4, 4] and [g.time for g in got] == [0.0, 2.0]
+            if all(boxes):
+                assert all(np.allclose(g.box, f[0].box) for g in got)
+    assert binary.read_dcd(binary.write_dcd([])).frames == [] and binary.read_netcdf(binary.write_netcdf([])).frames == []
