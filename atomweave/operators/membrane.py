@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -88,9 +88,13 @@ def patches(lipids: DataFrame, cutoff: float, box, keys: Sequence[str] = ()) ->
     """keys, i, j, d (struct: vector from i to j): heads no farther apart than cutoff, both ways."""
     heads = lipids.select(*keys, F.col("lipid_id").alias("atom_idx"), "head.x", "head.y", "head.z")
     p = spatial.self_pairs(heads, cutoff, box, keys=keys).select(*keys, "i", "j")
-    both = p.union(p.select(*keys, "j", "i"))
+    return reaches(p.union(p.select(*keys, "j", "i")), lipids, box, keys)
+
+
+def reaches(pairs: DataFrame, lipids: DataFrame, box, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds d, the vector from the head of i to the nearest image of the head of j, to keys, i, j."""
     at = lambda c: lipids.select(*keys, F.col("lipid_id").alias(c), F.col("head").alias(f"h{c}"))
-    met = both.join(at("i"), [*keys, "i"]).join(at("j"), [*keys, "j"])
+    met = pairs.join(at("i"), [*keys, "i"]).join(at("j"), [*keys, "j"])
     v = lambda c: tuple(F.col(c)[a] for a in "xyz")
     d = g.shortest(g.sub(v("hj"), v("hi")), g.box(box), (1, 1, 1), g.skewed(box))
     return met.select(*keys, "i", "j", F.struct(*[x.alias(a) for x, a in zip(d, "xyz", strict=True)]).alias("d"))
@@ -168,33 +172,68 @@ def polygon_area(v: np.ndarray) -> float:
     return 0.5 * abs(float((v[:, 0] * np.roll(v[:, 1], -1) - v[:, 1] * np.roll(v[:, 0], -1)).sum())) if len(v) > 2 else 0.0
 
 
-def surfaces(lipids: DataFrame, near: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, lipid_id, valid, area, mean_curvature, gaussian_curvature, k1, k2, neighbours, from each lipid's patch."""
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lipids.schema if f.name in keys)
+#: A fitted surface this far (nm) from its lipid's head makes the lipid invalid.
+FARTHEST = 0.5
+
+_POINT = "struct<x: double, y: double, z: double>"
+_SURFACE = "lipid_id long, valid boolean, area double, mean_curvature double, gaussian_curvature double, k1 double, k2 double, neighbours array<long>"
+_FIT = f"{_SURFACE}, up {_POINT}, moves array<struct<lipid_id: long, x: double, y: double, z: double>>, cell array<{_POINT}>"
+
+
+def fits(lipids: DataFrame, near: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The columns of surfaces, and of valid lipids: up (the surface's normal at the head), moves (from each head of the
+    patch, its own among them, onto the surface) and cell (vertices on the surface, seen from the head).
+
+    A lipid is invalid if its patch determines no surface, its Voronoi cell is open, the surface runs more than FARTHEST
+    from its head, or it was so before (column lost).
+    """
+    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in lipids.schema if f.name in keys)
     met = near.groupBy(*keys, F.col("i").alias("lipid_id")).agg(F.collect_list(F.struct("j", "d")).alias("near"))
-    rows = lipids.select(*keys, "lipid_id", "normal").join(met, [*keys, "lipid_id"], "left")
+    lost = F.col("lost") if "lost" in lipids.columns else F.lit(False)
+    rows = lipids.select(*keys, "lipid_id", "normal", lost.alias("lost")).join(met, [*keys, "lipid_id"], "left")
 
     def run(parts):
         for p in parts:
             out = []
-            for n, near_ in zip(p.normal, p.near, strict=True):
+            for own, n, near_, gone in zip(p.lipid_id, p.normal, p.near, p.lost, strict=True):
                 axes = frame_of(np.array([n["x"], n["y"], n["z"]]))
                 near_ = [] if near_ is None else near_
                 local = np.array([[o["d"]["x"], o["d"]["y"], o["d"]["z"]] for o in near_]).reshape(-1, 3) @ axes.T
                 q = fit_quadric(np.vstack((local, np.zeros(3)))) if len(local) else None
                 cell, edge = voronoi(local[:, :2])
-                valid = q is not None and -1 not in edge and len(cell) > 2
+                valid = not gone and q is not None and -1 not in edge and len(cell) > 2 and abs(q[5]) <= FARTHEST
                 k = curvatures(q) if q is not None else (None,) * 4
-                area = None
+                area, up, moves, lift = None, None, [], []
                 if valid:
-                    lift = np.column_stack((cell, q[0] * cell[:, 0] ** 2 + q[1] * cell[:, 1] ** 2 + q[2] * cell[:, 0] * cell[:, 1] + q[3] * cell[:, 0] + q[4] * cell[:, 1] + q[5]))
+                    on = lambda xy: q[0] * xy[:, 0] ** 2 + q[1] * xy[:, 1] ** 2 + q[2] * xy[:, 0] * xy[:, 1] + q[3] * xy[:, 0] + q[4] * xy[:, 1] + q[5]  # noqa: B023, E731
+                    lift = np.column_stack((cell, on(cell)))
                     top = np.array([0, 0, q[5]])
                     area = float(sum(np.linalg.norm(np.cross(a - top, b - top)) / 2 for a, b in zip(lift, np.roll(lift, -1, axis=0), strict=True)))
-                out.append((valid, area, *k, sorted({int(near_[e]["j"]) for e in edge if e >= 0})))
-            made = pd.DataFrame(out, columns=["valid", "area", "mean_curvature", "gaussian_curvature", "k1", "k2", "neighbours"])
+                    up = np.array([-q[3], -q[4], 1.0]) @ axes / np.sqrt(q[3] ** 2 + q[4] ** 2 + 1)
+                    moved = np.append(on(local) - local[:, 2], q[5])[:, None] * axes[2]
+                    moves = [{"lipid_id": int(i), "x": v[0], "y": v[1], "z": v[2]} for i, v in zip([*(o["j"] for o in near_), own], moved.tolist(), strict=True)]
+                    lift = (lift @ axes).tolist()
+                point = lambda v: dict(zip("xyz", map(float, v), strict=True))
+                out.append((valid, area, *k, sorted({int(near_[e]["j"]) for e in edge if e >= 0}), None if up is None else point(up), moves, [point(v) for v in lift]))
+            made = pd.DataFrame(out, columns=["valid", "area", "mean_curvature", "gaussian_curvature", "k1", "k2", "neighbours", "up", "moves", "cell"])
             yield pd.concat([p[[*keys, "lipid_id"]].reset_index(drop=True), made], axis=1)
 
-    return rows.mapInPandas(run, f"{head}{', ' if head else ''}lipid_id long, valid boolean, area double, mean_curvature double, gaussian_curvature double, k1 double, k2 double, neighbours array<long>")
+    return rows.mapInPandas(run, head + _FIT)
+
+
+def surfaces(lipids: DataFrame, near: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, lipid_id, valid, area, mean_curvature, gaussian_curvature, k1, k2, neighbours, from each lipid's patch."""
+    return fits(lipids, near, keys).drop("up", "moves", "cell")
+
+
+def smooth_markers(lipids: DataFrame, fit: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Heads of valid lipids move to the mean of the points that their own and their neighbours' surfaces give them; normals
+    become those of the surfaces; lost marks lipids that aren't valid."""
+    each = fit.where("valid").select(*keys, F.explode("moves").alias("m")).select(*keys, "m.*")
+    mean = each.groupBy(*keys, "lipid_id").agg(*[F.avg(c).alias(f"_{c}") for c in "xyz"])
+    met = lipids.drop("lost").join(fit.select(*keys, "lipid_id", "valid", "up"), [*keys, "lipid_id"]).join(mean, [*keys, "lipid_id"], "left")
+    head = F.struct(*[(F.col("head")[c] + F.when(F.col("valid"), F.col(f"_{c}")).otherwise(0.0)).alias(c) for c in "xyz"])
+    return met.withColumns({"head": head, "normal": F.coalesce("up", "normal"), "lost": ~F.col("valid")}).drop("valid", "up", "_x", "_y", "_z")
 
 
 def shells(surface: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -219,19 +258,100 @@ def smoothed(surface: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
 
 def group_stats(lipids: DataFrame, surface: DataFrame, keys: Sequence[str] = (), group: str = "species") -> DataFrame:
     """group, n, and mean and deviation of area, tilt (degrees between normal and tail-to-head) and curvatures, over frames."""
+    met = _tilted(lipids).join(surface.where("valid"), [*keys, "lipid_id"])
+    return met.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{k}") for c in VALUES for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+#: What statistics are made of, besides numbers of lipids and neighbours.
+VALUES = ("area", "tilt", "mean_curvature", "gaussian_curvature")
+
+
+def _tilted(lipids: DataFrame) -> DataFrame:
     v = lambda c: tuple(F.col(c)[a] for a in "xyz")
-    tilt = F.degrees(g.angle(v("normal"), g.sub(v("head"), v("tail"))))
-    met = lipids.withColumn("tilt", tilt).join(surface.where("valid"), [*keys, "lipid_id"])
-    names = ("area", "tilt", "mean_curvature", "gaussian_curvature")
-    return met.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{k}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    return lipids.withColumn("tilt", F.degrees(g.angle(v("normal"), g.sub(v("head"), v("tail")))))
+
+
+def groups_of(lipids: DataFrame, named: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, group, lipid_id: lipids that meet the condition of each name; groups may overlap and change by frame."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))
+    return lipids.select(*keys, "lipid_id", F.explode(names).alias("group"))
+
+
+def _met(lipids: DataFrame, surface: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Valid lipids of each group; frames are told apart in column _frame."""
+    own = _tilted(lipids).select(*keys, "lipid_id", "species", "tilt").join(surface.where("valid"), [*keys, "lipid_id"])
+    on = [c for c in (*keys, "lipid_id") if c in groups.columns]
+    return own.join(groups, on).withColumn("_frame", F.struct(*keys) if keys else F.lit(0))
+
+
+def species_stats(lipids: DataFrame, surface: DataFrame, groups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """group, species, num, num_std (valid lipids a frame, frames without them too) and mean and deviation of VALUES and of
+    the number of neighbours, over all valid lipids of all frames."""
+    met = _met(lipids, surface, groups, keys).withColumn("neighbours", F.size("neighbours").cast("double"))
+    names = (*VALUES, "neighbours")
+    # frame by frame first, as moments that add up
+    per = met.groupBy("group", "species", "_frame").agg(F.count(F.lit(1)).alias("_n"), *[x for c in names for x in (F.sum(c).alias(f"{c}_s"), F.sum(F.col(c) * F.col(c)).alias(f"{c}_q"))])
+    all_ = per.groupBy("group", "species").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_n")).alias("_nq"), *[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for c in names for k in "sq"])
+    frames = lipids.select(*keys).distinct().agg(F.count(F.lit(1)).alias("_frames")) if keys else lipids.sparkSession.range(1).select(F.lit(1).alias("_frames"))
+    spread = lambda q, s, n: F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
+    n, f = F.col("_n"), F.col("_frames")
+    return all_.crossJoin(F.broadcast(frames)).select(
+        "group", "species", (n / f).alias("num"), spread(F.col("_nq"), n, f).alias("num_std"),
+        *[x for c in names for x in ((F.col(f"{c}_s") / n).alias(c), spread(F.col(f"{c}_q"), F.col(f"{c}_s"), n).alias(f"{c}_std"))],
+    )
+
+
+def neighbour_stats(lipids: DataFrame, surface: DataFrame, groups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """group, species, neighbour, mean, std: neighbours of a species for each valid lipid of another, frame by frame, then
+    over the frames that have such lipids; a species that is never met there counts as 0 in its frames."""
+    met = _met(lipids, surface, groups, keys)
+    number = met.groupBy("group", "species", "_frame").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = lipids.select(*keys, F.col("lipid_id").alias("_other"), F.col("species").alias("neighbour"))
+    pairs = met.select(*keys, "group", "species", "_frame", F.explode("neighbours").alias("_other")).join(kinds, [*keys, "_other"])
+    found = pairs.groupBy("group", "species", "_frame", "neighbour").agg(F.count(F.lit(1)).alias("_k")).join(number, ["group", "species", "_frame"])
+    share = F.col("_k") / F.col("_n")
+    sums = found.groupBy("group", "species", "neighbour").agg(F.sum(share).alias("_s"), F.sum(share * share).alias("_q"))
+    frames = number.groupBy("group", "species").agg(F.count(F.lit(1)).alias("_f"))
+    s, q, f = F.col("_s"), F.col("_q"), F.col("_f")
+    return sums.join(frames, ["group", "species"]).select("group", "species", "neighbour", (s / f).alias("mean"), F.sqrt(F.greatest(q / f - (s / f) * (s / f), F.lit(0.0))).alias("std"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the folder for checkpoints, where one is set, else kept: every step uses the one before several times."""
+    sc = df.sparkSession.sparkContext
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if base and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+    return df.checkpoint() if sc.getCheckpointDir() is not None else df.cache()
+
+
+def fitted(atoms: DataFrame, config: Config, box, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Lipids and the fits of the last of max_smooth_iter rounds: fit, move the heads onto the surfaces, fit again.
+
+    n_shells_patch: one round more, whose Voronoi neighbours up to that shell are the patches of the later ones. Normals
+    are those of the surfaces; a global normal replaces all. Runs jobs: lineage is cut after each step.
+    """
+    lipids = _cut(markers(select(atoms, config.sel, keys), list(config.lipids.values()), box, keys))
+    near = _cut(patches(lipids, config.cutoff, box, keys))
+    lipids = _cut(normals(lipids, near, keys))
+    fixed = F.struct(*[F.lit(float(x)).alias(a) for x, a in zip(config.global_normal, "xyz", strict=True)]) if config.global_normal else None
+    if fixed is not None:
+        lipids = lipids.withColumn("normal", fixed)
+    rounds = max(1, config.max_smooth_iter) + (config.n_shells_patch > 0)
+    for k in range(rounds - 1):
+        fit = _cut(fits(lipids, near, keys))
+        pairs = near.select(*keys, "i", "j")
+        if config.n_shells_patch > 0 and k == 0:
+            pairs = shells(fit.select(*keys, "lipid_id", "neighbours"), config.n_shells_patch, keys).where("lipid_id <> other").select(*keys, F.col("lipid_id").alias("i"), F.col("other").alias("j"))
+        lipids = _cut(smooth_markers(lipids, fit, keys).withColumn("normal", F.col("normal") if fixed is None else fixed))
+        near = _cut(reaches(pairs, lipids, box, keys))
+    fit = _cut(fits(lipids, near, keys))
+    if fixed is None:
+        lipids = lipids.join(fit.select(*keys, "lipid_id", "up"), [*keys, "lipid_id"]).withColumn("normal", F.coalesce("up", "normal")).drop("up")
+    return lipids, fit
 
 
 def analyse(atoms: DataFrame, config: Config, box, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Lipids with normals and their surfaces for every frame of atoms."""
-    lipids = markers(select(atoms, config.sel, keys), list(config.lipids.values()), box, keys)
-    near = patches(lipids, config.cutoff, box, keys)
-    lipids = normals(lipids, near, keys)
-    if config.global_normal:
-        n = config.global_normal
-        lipids = lipids.withColumn("normal", F.struct(*[F.lit(float(x)).alias(a) for x, a in zip(n, "xyz", strict=True)]))
-    return lipids, smoothed(surfaces(lipids, near, keys), config.n_shells_smoothing, keys)
+    lipids, fit = fitted(atoms, config, box, keys)
+    return lipids, smoothed(fit.drop("up", "moves", "cell"), config.n_shells_smoothing, keys)
