@@ -2,10 +2,11 @@
 
 Level 1 holds the vocabulary: sorted word hashes and running counts, in parts by the leading bits of the hash; a word's
 id is its place. Level 2 holds for each context word its successors, level 3 for each pair the words that follow it:
-pointers into the successors and the successors themselves (each range shifted by the end of the one before, so that
-all rise) are Elias-Fano sequences; probabilities and back-off weights are codes of a byte. Parts of all levels are built
-by executors, written once to the shared folder and memory-mapped by every worker that scores; nothing of the corpus or
-the model passes through the driver but a row for each part.
+pointers into the successors and the successors themselves (each range shifted by the vocabulary's size once more than
+the one before, so that all rise and a successor is found without its range's pointers) are Elias-Fano sequences;
+probabilities and back-off weights are codes of a byte. Parts of all levels are built by executors, written once to the
+shared folder and memory-mapped by every worker that scores; nothing of the corpus or the model passes through the driver
+but a row for each part.
 
 Triples of neighbouring words are counted in batches, and each batch is dealt to the parts of levels 2 and 3 as one
 compressed row a part. A part is a range of places: the running count of a context word and, within the word, the share
@@ -26,11 +27,12 @@ from __future__ import annotations
 
 import os
 import urllib.parse
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,9 +43,12 @@ from .toxicity import fold
 
 #: Words in a part of level 1 and tokens in one of levels 2 and 3, about; discount; decimals of a code's step.
 PART_WORDS, PART_TOKENS, DISCOUNT, STEP = 1 << 20, 2_500_000, 0.75, 0.04
-#: Words that a worker remembers, distinct words and tokens that it gathers before it hands them on, tokens that are scored
-#: at once, characters of a long text that are split into words at once, slots of the tables of found pairs and triples.
-CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS = 250_000, 300_000, 1_000_000, 250_000, 500_000, 1 << 20
+#: Words that a worker remembers, bytes of text and tokens that it gathers before it hands them on, tokens that are split at
+#: once (and four times as many scored), characters of a long text that are split into words at once, slots of the tables of
+#: found pairs and triples, parts that a worker keeps open.
+CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS, OPEN = 250_000, 12_000_000, 1_000_000, 250_000, 500_000, 1 << 20, 1 << 13
+#: Bytes of a token, about, with what stands between it and the next.
+TOKEN_BYTES = 6
 END = b" "  # no word holds a space
 _U = np.uint64
 #: Bits of a worker's own word numbers, three of which are one key: CACHE and the words of TOKENS tokens are fewer.
@@ -84,7 +89,7 @@ def get(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped where the shared folder is mounted, else read."""
     url = urllib.parse.urlparse(uri)
     if url.scheme in ("", "file"):
-        raw = np.memmap(url.path, np.uint8, "r")
+        raw = np.asarray(np.memmap(url.path, np.uint8, "r"))  # a plain array: each access to a memmap makes an object
     else:
         from pyarrow import fs
 
@@ -132,70 +137,87 @@ class EliasFano:
         self.low, self.zeros = arrays[f"{name}_low"], arrays[f"{name}_zeros"]
         self.bits = arrays[f"{name}_bits"].view("<u8")
         self.n, self.width = (int(x) for x in arrays[f"{name}_meta"])
-        self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+
+    @cached_property
+    def ones(self) -> np.ndarray:
+        return np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
         """Place of bit number k (from 0): a one, or a zero if flip is all ones."""
         word = np.searchsorted(before, k, "right") - 1
-        rest, x = k - before[word], self.bits[word] ^ _U(flip)
-        at = word << 6
-        for half in (32, 16, 8, 4, 2, 1):  # into the half that holds the bit
-            low = np.bitwise_count(x & _U((1 << half) - 1)).astype(np.int64)
-            up = rest >= low
-            rest -= np.where(up, low, 0)
-            step = up * half
-            at += step
-            x = x >> step.astype(_U)
-        return at
+        rest, x = (k - before[word]).astype(_U), self.bits[word] ^ _U(flip)
+        s = x - ((x >> _U(1)) & _U(0x5555555555555555))
+        s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+        s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH  # in byte i the ones of bytes 0 to i
+        off = np.bitwise_count(((rest * _EACH) | _TOPS) - s & _TOPS).astype(_U) << _U(3)  # bytes that end before the bit
+        rest -= ((s << _U(8)) >> off) & _U(255)
+        return (word << 6) + (off + _BIT[(rest << _U(8)) | ((x >> off) & _U(255))]).astype(np.int64)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.int64)
         at = i * self.width
-        word, off = at >> 6, (at & 63).astype(_U)
-        x = self.low[word] >> off
-        x |= np.where(off > 0, self.low[word + 1] << ((_U(64) - off) & _U(63)), _U(0))
-        return (x & _U((1 << self.width) - 1)).astype(np.int64)
+        return (_window(self.low, at >> 6, (at & 63).astype(_U), (at >> 6) + 1) & _U((1 << self.width) - 1)).astype(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, self.ones, 0) - i) << self.width) | self.lows(i)
 
     def _run(self, place: np.ndarray, h: np.ndarray) -> np.ndarray:
         """How many ones stand from a place of the high bits on, where the zero number h ends them."""
-        word, off = np.minimum(place >> 6, len(self.bits) - 1), (place & 63).astype(_U)
-        following = self.bits[np.minimum(word + 1, len(self.bits) - 1)]
-        x = (self.bits[word] >> off) | np.where(off > 0, following << ((_U(64) - off) & _U(63)), _U(0))
+        most = len(self.bits) - 1
+        word = np.minimum(place >> 6, most)
+        x = _window(self.bits, word, (place & 63).astype(_U), np.minimum(word + 1, most))
         n = np.bitwise_count(x & ~(x + _U(1))).astype(np.int64)
         long = np.flatnonzero(n >= 32)  # the window may end before the run does
-        n[long] = self._select(h[long], self.zeros, 0xFFFFFFFFFFFFFFFF) - place[long]
+        if len(long):
+            n[long] = self._select(h[long], self.zeros, _ALL) - place[long]
         return n
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 if it isn't in the sequence: its high part names a run, whose low parts are searched."""
+        """Place of each value, -1 if it isn't in the sequence: its high part names a run, whose low parts are searched.
+
+        Values in order are found faster: neighbours in memory are read one after another.
+        """
         out = np.full(len(value), -1, np.int64)
         high, low = value >> self.width, value & ((1 << self.width) - 1)
         ok = np.flatnonzero((value >= 0) & (high < self.zeros[-1])) if self.n else np.zeros(0, np.int64)
         if not len(ok):
             return out
-        ok = ok[np.argsort(high[ok])]  # neighbours in memory one after another
         h, low = high[ok], low[ok]
-        place = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, 0xFFFFFFFFFFFFFFFF) + 1, 0)
+        place = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, _ALL) + 1, 0)
         at = place - h
         end = at + self._run(place, h)
         stop = end.copy()
-        alive = np.flatnonzero(at < stop)
+        alive = np.flatnonzero(at + 1 < stop)  # of one that is left, the last comparison tells
         while len(alive):  # halves of the run: a frequent context's may be long
             mid = (at[alive] + stop[alive]) // 2
-            less = self.lows(mid) < low[alive]
-            at[alive[less]] = mid[less] + 1
+            less = self.lows(mid) <= low[alive]
+            at[alive[less]] = mid[less]
             stop[alive[~less]] = mid[~less]
-            alive = alive[at[alive] < stop[alive]]
+            alive = alive[at[alive] + 1 < stop[alive]]
         inside = np.flatnonzero(at < end)
         hit = inside[self.lows(at[inside]) == low[inside]]
         out[ok[hit]] = at[hit]
         return out
 
 
+_ALL, _EACH, _TOPS = 0xFFFFFFFFFFFFFFFF, _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of one number k of a byte x, at k << 8 | x.
+_BIT = np.array([([i for i in range(8) if x >> i & 1] + [0] * 8)[k] for k in range(8) for x in range(256)], _U)
+
+
+def _window(words: np.ndarray, word: np.ndarray, off: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The 64 bits from bit off of a word on."""
+    return (words[word] >> off) | ((words[following] << _U(1)) << (_U(63) - off))
+
+
+def runs(which: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of an array in order and where it stands."""
+    begin = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(which)], strict=len(begin) > 0):
+        yield int(which[i]), slice(i, j)
+
+
 # -- words of texts ------------------------------------------------------------------------------------------------
 
 
@@ -211,16 +233,35 @@ def slices(text: str) -> Iterator[tuple[str, bool]]:
     yield text[at:], True
 
 
-def parts_of(texts: list[str | None]) -> Iterator[tuple[int, list[bytes], int, bool]]:
-    """(number of the text, words, how many of them an earlier part has given, whether the end stands last)."""
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, bytes, int, bool]]:
+    """(number of the text, bytes of a part of it, how many of its words an earlier part has given, whether the end stands last)."""
     for k, text in enumerate(texts):
         kept: list[bytes] = []
         for piece, last in slices(text or ""):
-            words = [*kept, *piece.encode("utf-8", "surrogatepass").lower().split()]  # bytes know A-Z and ASCII white space only
-            if last:
-                words.append(END)
-            yield k, words, len(kept), last
-            kept = words[-2:]
+            body = b" ".join((*kept, piece.encode("utf-8", "surrogatepass").lower()))  # bytes know A-Z and ASCII white space only
+            yield k, body, len(kept), last
+            if not last:
+                kept = body.rsplit(None, 2)[-2:]
+
+
+def parts_of(texts: list[str | None]) -> Iterator[tuple[int, list[bytes], int, bool]]:
+    """The same with the words of each part, the end among them."""
+    for k, body, skip, last in pieces(texts):
+        yield k, [*body.split(), END] if last else body.split(), skip, last
+
+
+def split(held: list[tuple[int, bytes, int, bool]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of parts, which of them stands at each place, and how many words each part has (without ends)."""
+    lists = pc.ascii_split_whitespace(pa.array([body for _, body, _, _ in held], pa.large_binary()).view(pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    _, offsets, data = coded.dictionary.buffers()
+    at = np.frombuffer(offsets, np.int64)[: len(coded.dictionary) + 1].tolist() if len(coded) else [0]
+    raw = data.to_pybytes() if data else b""
+    words = [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+    code, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy()
+    real = np.ones(len(code), bool) if b"" not in words else code != words.index(b"")  # white space at a part's ends leaves empty ones
+    before = np.concatenate(([0], np.cumsum(real)))
+    return words, code[real], np.diff(before[offsets])
 
 
 def words_of(text: str) -> list[bytes]:
@@ -235,8 +276,11 @@ def code_of(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 255).astype(np.uint8)
 
 
+_VALUE = 10.0 ** (np.arange(256) * -STEP)
+
+
 def value_of(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code * -STEP)
+    return _VALUE[code]
 
 
 class Vocabulary:
@@ -251,7 +295,7 @@ class Vocabulary:
 
     def part(self, k: int) -> dict[str, np.ndarray]:
         if k not in self.parts:
-            if len(self.parts) > 256:
+            if len(self.parts) >= OPEN:
                 self.parts.clear()
             self.parts[k] = get(f"{self.folder}/words-{k}")
         return self.parts[k]
@@ -262,25 +306,26 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids, -1 for words that training doesn't hold."""
         out = np.full(len(hashes), -1, np.int64)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
         which = (hashes >> _U(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(hashes), np.int64)
-        for k in np.unique(which):
+        for k, own in runs(which):
             if self.first[k] < self.first[k + 1]:
-                own, mine = np.flatnonzero(which == k), self.part(int(k))["hash"]
+                mine = self.part(k)["hash"]
                 at = np.minimum(np.searchsorted(mine, hashes[own]), len(mine) - 1)
-                hit = mine[at] == hashes[own]
-                out[own[hit]] = at[hit] + self.first[k]
+                out[order[own]] = np.where(mine[at] == hashes[own], at + self.first[k], -1)
         return out
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the ids before, and of the ids themselves; 0 for -1."""
         before, count = np.zeros((2, len(ids)), np.int64)
-        which = np.searchsorted(self.first, ids, "right") - 1
-        for k in np.unique(which[ids >= 0]):
-            own = np.flatnonzero((which == k) & (ids >= 0))
-            running = self.part(int(k))["running"]
-            at = ids[own] - self.first[k]
-            before[own] = running[at] + self.before[k]
-            count[own] = running[at + 1] - running[at]
+        order = np.argsort(ids)
+        order = order[np.searchsorted(ids, 0, sorter=order) :]
+        for k, own in runs(np.searchsorted(self.first, ids[order], "right") - 1):
+            running = self.part(k)["running"]
+            at = ids[order[own]] - self.first[k]
+            before[order[own]] = running[at] + self.before[k]
+            count[order[own]] = running[at + 1] - running[at]
         return before, count
 
     def part_of(self, before: np.ndarray, count: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -312,18 +357,22 @@ class Numbers:
 
 
 class Tokens:
-    """Parts of texts as one run of numbers, with what stands before and after each."""
+    """Parts of texts (their bytes or words) as one run of numbers, with what stands before and after each."""
 
-    def __init__(self, numbers: Numbers, held: list[tuple[int, list[bytes], int, bool]]):
-        self.x = numbers.take([w for _, words, _, _ in held for w in words])
-        lengths = np.array([len(words) for _, words, _, _ in held], np.int64)
+    def __init__(self, numbers: Numbers, held: list[tuple[int, bytes | list[bytes], int, bool]]):
+        words, code, lengths = split([(k, p if isinstance(p, bytes) else b" ".join(p[: len(p) - last]), skip, last) for k, p, skip, last in held])
         skip, last = np.array([p[2] for p in held]), np.array([p[3] for p in held])
+        lengths = lengths + last
+        ends = (np.cumsum(lengths) - 1)[lengths > 0]
+        word = np.ones(int(lengths.sum()), bool)
+        word[ends[last[lengths > 0]]] = False
+        self.x = np.ones(len(word), np.int64)
+        self.x[word] = numbers.take(words)[code]
         self.part = np.repeat(np.arange(len(held)), lengths)
         self.starts = (np.cumsum(lengths) - lengths)[lengths > 0]
         self.prev = np.concatenate(([1], self.x[:-1]))
         self.prev[self.starts] = 1
         self.next = np.concatenate((self.x[1:], [0]))
-        ends = (np.cumsum(lengths) - 1)[lengths > 0]
         self.next[ends] = 0
         at = np.arange(len(self.x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.own = at >= skip[self.part]  # not given by an earlier part
@@ -335,37 +384,29 @@ class Tokens:
 # -- levels 2 and 3 ------------------------------------------------------------------------------------------------
 
 
-def ranges(begin: np.ndarray, word: np.ndarray, n: int, name: str) -> dict[str, np.ndarray]:
-    """Pointers and successors of n contexts; begin: the context of each successor, rising. Each range is shifted by the end of the one before."""
-    of = np.bincount(begin, minlength=n)
-    pointer = np.concatenate(([0], np.cumsum(of)))
-    last = np.zeros(n, np.int64)
-    last[of > 0] = word[pointer[1:][of > 0] - 1] + 1
-    shift = np.cumsum(last) - last
-    return ef_encode(pointer, f"{name}_pointer") | ef_encode(word + 1 + shift[begin], f"{name}_next")
+def ranges(begin: np.ndarray, word: np.ndarray, n: int, size: int, name: str) -> dict[str, np.ndarray]:
+    """Pointers and successors of n contexts; begin: the context of each successor, rising. Each range is shifted by size once more than the one before."""
+    pointer = np.concatenate(([0], np.cumsum(np.bincount(begin, minlength=n))))
+    return ef_encode(pointer, f"{name}_pointer") | ef_encode(word + begin * size, f"{name}_next")
 
 
 class Level:
     """The successors of some contexts, by the place of the context."""
 
-    def __init__(self, a: dict[str, np.ndarray], name: str):
-        self.pointer, self.next, self.code = EliasFano(a, f"{name}_pointer"), EliasFano(a, f"{name}_next"), a[f"{name}_code"]
+    def __init__(self, a: dict[str, np.ndarray], name: str, size: int):
+        self.pointer, self.next, self.code, self.size = EliasFano(a, f"{name}_pointer"), EliasFano(a, f"{name}_next"), a[f"{name}_code"], size
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of the words among the successors of the contexts, -1 where they don't follow."""
-        h, each = np.unique(context, return_inverse=True)  # pointers are read once a context
-        begin, end = self.pointer[h], self.pointer[h + 1]
-        base = np.where(begin > 0, self.next[np.maximum(begin - 1, 0)], 0) if self.next.n else np.zeros(len(h), np.int64)
-        at = self.next.find(base[each] + word + 1)
-        return np.where((at >= begin[each]) & (at < end[each]), at, -1)  # not of a later range
+        return self.next.find(context * self.size + word)
 
 
 class Part:
     """Levels 2 and 3 of a range of places."""
 
     def __init__(self, a: dict[str, np.ndarray]):
-        self.start, self.contexts = (int(v) for v in a["start"])
-        self.pairs, self.triples, self.backoff = Level(a, "pair"), Level(a, "triple"), a["backoff"]
+        self.start, self.contexts, size = (int(v) for v in a["start"])
+        self.pairs, self.triples, self.backoff = Level(a, "pair", size), Level(a, "triple", size), a["backoff"]
 
     def followers(self, ids: np.ndarray) -> np.ndarray:
         """How many words follow each context here."""
@@ -414,30 +455,37 @@ def build(vocabulary: Vocabulary, u: np.ndarray, v: np.ndarray, w: np.ndarray, n
     start, contexts = int(pu[0]), int(pu[-1] - pu[0]) + 1
     own, each, followers = np.unique(pu, return_inverse=True, return_counts=True)
     whole = vocabulary.places(own)[1]
-    out = {"start": np.array([start, contexts], np.int64)} | ranges(pu - start, pv, contexts, "pair") | {"pair_code": code_of(np.log10((n2 - DISCOUNT) / whole[each]))}
+    out = {"start": np.array([start, contexts, vocabulary.size], np.int64)} | ranges(pu - start, pv, contexts, vocabulary.size, "pair") | {"pair_code": code_of(np.log10((n2 - DISCOUNT) / whole[each]))}
     real = w >= 0
     pair = (np.cumsum(np.bincount(begin, minlength=len(u))) - 1)[real]
     kinds, total = np.bincount(pair, minlength=len(pu)), np.bincount(pair, n[real], minlength=len(pu))
-    out |= ranges(pair, w[real], len(pu), "triple") | {"triple_code": code_of(np.log10((n[real] - DISCOUNT) / total[pair]))}
+    out |= ranges(pair, w[real], len(pu), vocabulary.size, "triple") | {"triple_code": code_of(np.log10((n[real] - DISCOUNT) / total[pair]))}
     out["backoff"] = code_of(np.log10(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)))
     return out, own, followers
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), _U, len(seen))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["hash", "n"])
+        words, code, lengths = split(held)
+        given = np.repeat(np.cumsum(lengths) - lengths + [skip for _, _, skip, _ in held], lengths)
+        n = np.bincount(code[np.arange(len(code)) >= given], minlength=len(words))
+        words, n = [*words, END], np.append(n, sum(last for *_, last in held))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 0].view(np.int64)), pa.array(n[n > 0], pa.int64())], names=["hash", "n"])
 
     for b in batches:
-        for _, words, skip, _ in parts_of(b.column(0).to_pylist()):
-            seen.update(words[skip:] if skip else words)
-            if len(seen) > GATHER:
+        for piece in pieces(b.column(0).to_pylist()):
+            held.append(piece)
+            size += len(piece[1])
+            if size >= GATHER:
                 yield out()
-                seen.clear()
-    yield out()
-    del seen
+                held.clear()
+                size = 0
+    if held:
+        yield out()
+    del held
     give_back()
 
 
@@ -452,7 +500,7 @@ class Model:
 
     def part(self, k: int) -> Part | None:
         if k not in self.parts:
-            if len(self.parts) > 256:
+            if len(self.parts) >= OPEN:
                 self.parts.clear()
             try:
                 self.parts[k] = Part(get(f"{self.folder}/part-{k}"))
@@ -469,10 +517,10 @@ class Model:
             k = int(ids[i])
             out[i] = self.spread[k] if k in self.spread else sum(int(p.followers(ids[i : i + 1])[0]) for p in map(self.part, range(int(first[i]), int(last[i]) + 1)) if p)
         one = np.flatnonzero((count > 0) & (last == first))
-        for k in np.unique(first[one]):
-            own = one[first[one] == k]
-            if (part := self.part(int(k))) is not None:
-                out[own] = part.followers(ids[own])
+        one = one[np.argsort(ids[one])]  # and so by parts
+        for k, own in runs(first[one]):
+            if (part := self.part(k)) is not None:
+                out[one[own]] = part.followers(ids[one[own]])
         return out
 
 
@@ -524,9 +572,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
                 numbers.clear()
 
         for b in batches:
-            for piece in parts_of(b.column(0).to_pylist()):
+            for piece in pieces(b.column(0).to_pylist()):
                 held.append(piece)
-                n += len(piece[1])
+                n += len(piece[1]) // TOKEN_BYTES + 1
                 if sum(map(len, keys)) + n >= TOKENS:
                     key()
                     n = 0
@@ -564,14 +612,15 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.vocabulary = model, model.vocabulary
         self.triple_key, self.triple_share = np.zeros(SLOTS * 2, _U), np.zeros(SLOTS * 2, np.float32)
+        self.key, self.ref = np.full(SLOTS, _ALL, _U), np.zeros(SLOTS, np.int64)
+        self.share, self.back = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
         self.numbers = Numbers(model.vocabulary)
         self.clear()
 
     def clear(self) -> None:
+        """Forgets the words; pairs and triples are known by ids and stay."""
         self.numbers.clear()
         self.single, self.rest = np.zeros(0), np.zeros(0)
-        self.key, self.ref = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
-        self.share, self.back = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
 
     def _learn(self) -> None:
         """The probability of new words, and what they leave to words that don't follow them."""
@@ -584,30 +633,35 @@ class Scorer:
 
     def _pairs(self, prev: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Share, back-off weight and reference (part << 32 | place, -1 if unknown) of pairs of numbers."""
-        key = prev << OWN | x
-        slot = ((key.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - (SLOTS - 1).bit_length())).astype(np.int64)
-        share, back, ref = self.share[slot], self.back[slot], self.ref[slot]
+        n, size = self.numbers, _U(self.vocabulary.size)
+        share, back, ref = np.zeros(len(x), np.float32), np.ones(len(x), np.float32), np.full(len(x), -1, np.int64)
+        u, w = n.id[prev], n.id[x]
+        known = np.flatnonzero((u >= 0) & (w >= 0))
+        if not len(known):
+            return share, back, ref
+        key = u[known].view(_U) * size + w[known].view(_U)  # below 2 ** 64, as words are fewer than 2 ** 32
+        slot = ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+        share[known], back[known], ref[known] = self.share[slot], self.back[slot], self.ref[slot]
         miss = np.flatnonzero(self.key[slot] != key)
         if len(miss):
-            keys, first, each = np.unique(key[miss], return_index=True, return_inverse=True)
-            n = self.numbers
-            p, w = keys >> OWN, n.id[keys & ((1 << OWN) - 1)]
+            order = miss[np.argsort(key[miss])]  # by places, and so by parts
+            new = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
+            first, each = order[new], np.cumsum(new) - 1
+            keys, p, w = key[first], prev[known[first]], w[known[first]]
             s, b, r = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32), np.full(len(keys), -1, np.int64)
-            known = np.flatnonzero((n.count[p] > 0) & (w >= 0))
-            which = self.vocabulary.part_of(n.before[p[known]], n.count[p[known]], w[known])
-            for k in np.unique(which):
-                if (part := self.model.part(int(k))) is not None:
-                    own = known[which == k]
+            for k, own in runs(self.vocabulary.part_of(n.before[p], n.count[p], w)):
+                if (part := self.model.part(k)) is not None:
                     at = part.pair(n.id[p[own]], w[own])
-                    own, at = own[at >= 0], at[at >= 0]
-                    s[own], b[own], r[own] = value_of(part.pairs.code[at]), value_of(part.backoff[at]), int(k) << 32 | at
-            share[miss], back[miss], ref[miss] = s[each], b[each], r[each]
-            put_at = slot[miss[first]]
-            self.key[put_at], self.share[put_at], self.back[put_at], self.ref[put_at] = keys, s, b, r
-            lost = self.key[put_at] != keys  # of two keys for one slot the later one stays
-            if lost.any():
-                stay = np.flatnonzero(~lost)
-                self.share[put_at[stay]], self.back[put_at[stay]], self.ref[put_at[stay]] = s[stay], b[stay], r[stay]
+                    hit = np.flatnonzero(at >= 0)
+                    at, hit = at[hit], hit + own.start
+                    s[hit], b[hit], r[hit] = value_of(part.pairs.code[at]), value_of(part.backoff[at]), k << 32 | at
+            at = known[order]
+            share[at], back[at], ref[at] = s[each], b[each], r[each]
+            put_at = slot[first]
+            self.key[put_at] = keys
+            stay = np.flatnonzero(self.key[put_at] == keys)  # of two keys for one slot the later one stays
+            put_at = put_at[stay]
+            self.share[put_at], self.back[put_at], self.ref[put_at] = s[stay], b[stay], r[stay]
         return share, back, ref
 
     def _triples(self, ref: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -618,19 +672,16 @@ class Scorer:
         share = self.triple_share[slot]
         miss = np.flatnonzero(self.triple_key[slot] != key)
         if len(miss):
-            keys, first, each = np.unique(key[miss], return_index=True, return_inverse=True)
-            r, w = ref[miss[first]], word[miss[first]]
-            s = np.zeros(len(keys), np.float32)
-            which = r >> 32
-            for k in np.unique(which):
-                part = self.model.part(int(k))
-                own = np.flatnonzero(which == k)
+            miss = miss[np.argsort(ref[miss])]  # by parts, and by places there
+            r, w, s = ref[miss], word[miss], np.zeros(len(miss), np.float32)
+            for k, own in runs(r >> 32):
+                part = self.model.part(k)
                 at = part.triples.find(r[own] & 0xFFFFFFFF, w[own])
-                own, at = own[at >= 0], at[at >= 0]
-                s[own] = value_of(part.triples.code[at])
-            share[miss] = s[each]
-            put_at = slot[miss[first]]
-            self.triple_key[put_at], self.triple_share[put_at] = keys, s
+                hit = np.flatnonzero(at >= 0)
+                s[hit + own.start] = value_of(part.triples.code[at[hit]])
+            share[miss] = s
+            put_at, keys = slot[miss], key[miss]
+            self.triple_key[put_at] = keys
             stay = np.flatnonzero(self.triple_key[put_at] == keys)
             self.triple_share[put_at[stay]] = s[stay]
         return share
@@ -659,10 +710,10 @@ class Scorer:
             for out, value in ((n_tokens, None), (n_known, (word >= 0).astype(float)), (base, np.log10(single)), (log, np.log10(p))):
                 out += np.bincount(text, None if value is None else value[own], len(texts)).astype(out.dtype)
 
-        for piece in parts_of(texts):
+        for piece in pieces(texts):
             held.append(piece)
-            n += len(piece[1])
-            if n >= BATCH:
+            n += len(piece[1]) // TOKEN_BYTES + 1
+            if n >= 4 * BATCH:
                 run()
                 n = 0
         if held:
@@ -687,10 +738,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
-        for b in batches:
-            n_tokens, n_known, base, log = scorer.score(b.column(1).to_pylist())
-            total = np.full(len(b), model.vocabulary.total, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (n_tokens, n_known, total, base, log))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            found = scorer.score([text for b in held for text in b.column(1).to_pylist()])
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            held.clear()
+            n_tokens, n_known, base, log = map(pa.array, found)
+            total = pa.array(np.full(len(ids), model.vocabulary.total, np.int64))
+            return pa.RecordBatch.from_arrays([ids, n_tokens, n_known, total, base, log], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        for b in batches:  # many at once, as each round of lookups visits the parts of the model
+            held.append(b)
+            if sum(x.nbytes for x in held) >= 4 * BATCH * TOKEN_BYTES:
+                yield out()
+        if held:
+            yield out()
         give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

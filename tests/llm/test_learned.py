@@ -283,3 +283,46 @@ def test_query_keeps_what_is_met_once(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in op10_ngram(spark, str(tmp_path)).collect()}
     check_scores([got[i] for i, _ in docs], docs)
+
+
+def test_parts_are_opened_once_and_read_in_few_steps(spark, sf_dir, odd_rows, monkeypatch):
+    """With more parts than 256, as 6 GB of texts have, no part is opened again, and a round of lookups in a part finds its places in one step."""
+    from atomweave.llm.queries import table
+
+    for name, value in (("PART_TOKENS", 100), ("BATCH", 4000)):
+        monkeypatch.setattr(ngram, name, value)
+    texts = [t for _, t in odd_rows] + [r.text for r in table(spark, sf_dir, "documents").limit(60).collect()]
+    local = local_model(texts)
+    opened, finds, selects = [], [], []
+    model = ngram.Model(local.vocabulary, "", local.spread)
+    monkeypatch.setattr(ngram, "get", lambda uri: opened.append(uri) or uri)
+    monkeypatch.setattr(ngram, "Part", lambda uri: local.parts[int(uri.rsplit("-", 1)[1])])
+    plain_find, plain_select = ngram.Level.find, ngram.EliasFano._select
+    monkeypatch.setattr(ngram.Level, "find", lambda *a: finds.append(1) or plain_find(*a))
+    scorer = ngram.Scorer(model)
+    want = ngram.Scorer(local).score(texts)
+    finds.clear()
+    for k in local.parts:  # pointers of words in the middle of a part are read for words, not for lookups
+        model.part(k)
+    monkeypatch.setattr(ngram.Model, "followers", lambda self, ids, before, count: np.ones(len(ids), np.int64))
+    monkeypatch.setattr(ngram.EliasFano, "_select", lambda *a: selects.append(1) or plain_select(*a))
+    for _ in range(2):
+        scorer.score(texts)
+    assert len(local.parts) > 300 and len(opened) == len(set(opened)) == len(local.parts)
+    assert len(selects) <= 2 * len(finds)  # zeros before a run, and its end where it is long
+    monkeypatch.undo()
+    assert want[0].sum() == sum(len(ngram.words_of(t or "")) for t in texts)
+
+
+def test_split_finds_the_words_of_plain_bytes(odd_rows, monkeypatch):
+    monkeypatch.setattr(ngram, "CHARS", 50)
+    texts = [t for _, t in odd_rows] + ["", None, " \t\n", "A\x0bb\x0cC\x1cd\x85e f\x00g  ", " x" * 200, "no-blank" * 40]
+    held = list(ngram.pieces(texts))
+    words, code, lengths = ngram.split(held)
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    got = [[words[c] for c in code[i:j]] for i, j in zip(at, at[1:], strict=False)]
+    assert got == [body.split() for _, body, _, _ in held]
+    found = [[] for _ in texts]
+    for (k, _, skip, _), part in zip(held, got, strict=True):
+        found[k] += part[skip:]
+    assert found == [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
