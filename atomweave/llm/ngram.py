@@ -43,12 +43,12 @@ from .toxicity import fold
 
 #: Words in a part of level 1 and tokens in one of levels 2 and 3, about; discount; decimals of a code's step.
 PART_WORDS, PART_TOKENS, DISCOUNT, STEP = 1 << 20, 2_500_000, 0.75, 0.04
-#: Words that a worker remembers, bytes of text and tokens that it gathers before it hands them on, tokens that are split at
-#: once (and four times as many scored), characters of a long text that are split into words at once, slots of the tables of
-#: found pairs and triples, parts that a worker keeps open.
-CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS, OPEN = 250_000, 12_000_000, 1_000_000, 250_000, 500_000, 1 << 20, 1 << 13
-#: Bytes of a token, about, with what stands between it and the next.
-TOKEN_BYTES = 6
+#: Words that a worker remembers, tokens whose words and triples it gathers before it hands them on, tokens that are split at
+#: once, characters of a long text that are split into words at once, slots of the tables of found pairs and triples, parts
+#: that a worker keeps open.
+CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS, OPEN = 250_000, 2_000_000, 1_000_000, 250_000, 500_000, 1 << 20, 1 << 13
+#: Batches of tokens that are scored at once, as each round of lookups visits the parts of the model; bytes of a token, about.
+ROUND, TOKEN_BYTES = 8, 6
 END = b" "  # no word holds a space
 _U = np.uint64
 #: Bits of a worker's own word numbers, three of which are one key: CACHE and the words of TOKENS tokens are fewer.
@@ -244,6 +244,11 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, bytes, int, bool]]:
                 kept = body.rsplit(None, 2)[-2:]
 
 
+def most_tokens(body: bytes) -> int:
+    """As many tokens as a part of a text has, the end among them, or more where blanks follow one another."""
+    return len(body) - len(body.translate(None, b" \t\n\v\f\r")) + 2
+
+
 def parts_of(texts: list[str | None]) -> Iterator[tuple[int, list[bytes], int, bool]]:
     """The same with the words of each part, the end among them."""
     for k, body, skip, last in pieces(texts):
@@ -478,7 +483,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for piece in pieces(b.column(0).to_pylist()):
             held.append(piece)
-            size += len(piece[1])
+            size += most_tokens(piece[1])
             if size >= GATHER:
                 yield out()
                 held.clear()
@@ -574,7 +579,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         for b in batches:
             for piece in pieces(b.column(0).to_pylist()):
                 held.append(piece)
-                n += len(piece[1]) // TOKEN_BYTES + 1
+                n += most_tokens(piece[1])
                 if sum(map(len, keys)) + n >= TOKENS:
                     key()
                     n = 0
@@ -712,8 +717,8 @@ class Scorer:
 
         for piece in pieces(texts):
             held.append(piece)
-            n += len(piece[1]) // TOKEN_BYTES + 1
-            if n >= 4 * BATCH:
+            n += most_tokens(piece[1])
+            if n >= ROUND * BATCH:
                 run()
                 n = 0
         if held:
@@ -748,9 +753,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             total = pa.array(np.full(len(ids), model.vocabulary.total, np.int64))
             return pa.RecordBatch.from_arrays([ids, n_tokens, n_known, total, base, log], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        for b in batches:  # many at once, as each round of lookups visits the parts of the model
+        for b in batches:
             held.append(b)
-            if sum(x.nbytes for x in held) >= 4 * BATCH * TOKEN_BYTES:
+            if sum(x.nbytes for x in held) >= ROUND * BATCH * TOKEN_BYTES:
                 yield out()
         if held:
             yield out()

@@ -326,3 +326,4 @@ def test_split_finds_the_words_of_plain_bytes(odd_rows, monkeypatch):
     for (k, _, skip, _), part in zip(held, got, strict=True):
         found[k] += part[skip:]
     assert found == [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    assert all(len(part) + last <= ngram.most_tokens(body) for part, (_, body, _, last) in zip(got, held, strict=True))
