@@ -28,7 +28,6 @@ from __future__ import annotations
 import os
 import urllib.parse
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,7 @@ PART_WORDS, PART_TOKENS, DISCOUNT, STEP = 1 << 20, 2_500_000, 0.75, 0.04
 #: that a worker keeps open.
 CACHE, GATHER, TOKENS, BATCH, CHARS, SLOTS, OPEN = 250_000, 2_000_000, 1_000_000, 250_000, 500_000, 1 << 20, 1 << 13
 #: Batches of tokens that are scored at once, as each round of lookups visits the parts of the model; bytes of a token, about.
-ROUND, TOKEN_BYTES = 8, 6
+ROUND, TOKEN_BYTES = 6, 6
 END = b" "  # no word holds a space
 _U = np.uint64
 #: Bits of a worker's own word numbers, three of which are one key: CACHE and the words of TOKENS tokens are fewer.
@@ -138,7 +137,7 @@ class EliasFano:
         self.bits = arrays[f"{name}_bits"].view("<u8")
         self.n, self.width = (int(x) for x in arrays[f"{name}_meta"])
 
-    @cached_property
+    @property
     def ones(self) -> np.ndarray:
         return np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
 
