@@ -295,7 +295,7 @@ def test_streamed_writers(spark, tmp_path):
     assert binary.read_dcd(binary.write_dcd([])).frames == [] and binary.read_netcdf(binary.write_netcdf([])).frames == []
 
 
-@pytest.mark.parametrize("kind", ["dcd"])
+@pytest.mark.parametrize("kind", ["dcd", "nc"])
 def test_frames_that_lack_atoms(spark, tmp_path, kind):
     lacks = {0: {2}, 1: set(), 2: {0, 4}}
     rows = [(k, i, k + 0.1 * i, float("nan") if i == 1 else 1.0, 2.0) for k in lacks for i in range(5) if i not in lacks[k]]
