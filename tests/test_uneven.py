@@ -33,6 +33,6 @@ def embeddings(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["file_dcd", "file_frames_seek", "file_nc"])
+@pytest.mark.parametrize("name", ["file_dcd", "file_frames_seek", "file_nc", "file_frames_last"])
 def test_trajectories_of_uneven_frames(spark, embeddings, name):
     same(spark, embeddings, name)
