@@ -78,3 +78,18 @@ def test_within_adds_inner_atoms(spark):
     got = spatial.within(atoms, inner, 0.3, keys=["frame_idx"], include_self=True)
     assert got.columns == atoms.columns and sorted((r.frame_idx, r.atom_idx, r.name) for r in got.collect()) == [(0, 1, "a"), (0, 9, None)]
     assert [r.atom_idx for r in spatial.within(atoms, inner, 0.3, keys=["frame_idx"]).collect()] == [1]
+
+
+@pytest.mark.parametrize(("box", "dims"), [(None, (1, 1, 1)), ("orthogonal", (1, 1, 1)), ("orthogonal", (0, 1, 1)), ("skewed", (1, 1, 1))])
+def test_points_on_a_lattice(spark, box, dims):
+    """Neighbours exactly at the cutoff, points on cell borders and faces and some boxes away; ids that occur twice."""
+    p = np.array([(0.1 * i, 0.1 * j, 0.1 * k) for i in range(4) for j in range(3) for k in range(3)] + [(2.0, 1.5, 1.0), (-4.0, 3.0, -2.0), (1.95, 1.45, 0.95), (-1e-18, 0.0, 0.0), (6.1, -3.0, 5.0)])
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "atom_idx long, x double, y double, z double")
+    cutoff = 0.1 + 1e-12
+    want = set(brute(p, cutoff, BOXES.get(box), dims))
+    assert {(r.i, r.j) for r in spatial.self_pairs(df, cutoff, BOXES.get(box), dims).collect()} == want
+    both = {(i, j) for i, j in want if i < 18 <= j}
+    assert {(r.i, r.j) for r in spatial.pairs(df.where("atom_idx < 18"), df.where("atom_idx >= 18"), cutoff, BOXES.get(box), dims).collect()} == both
+    assert {r.atom_idx for r in spatial.within(df.where("atom_idx < 18"), df.where("atom_idx >= 18"), cutoff, BOXES.get(box), dims).collect()} == {i for i, _ in both}
+    twice = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.09, 0.0, 0.0), (2, 0.05, 0.0, 0.0)], df.schema)
+    assert [(r.i, r.j) for r in spatial.self_pairs(twice, cutoff, BOXES.get(box), dims).collect()] == [(1, 2), (1, 2)]
