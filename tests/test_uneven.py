@@ -38,7 +38,7 @@ def test_trajectories_of_uneven_frames(spark, embeddings, name):
     same(spark, embeddings, name)
 
 
-@pytest.mark.parametrize("name", ["dist_single_pbc_dims", "dist_single_triclinic", "dist_double_pbc"])
+@pytest.mark.parametrize("name", ["dist_single_pbc_dims", "dist_single_triclinic", "dist_double_pbc", "dist_single_pbc"])
 def test_cells_tell_the_image(spark, embeddings, name):
     plan = QUERIES[name](spark, str(embeddings))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "lambda" not in plan and "rint" not in plan  # no search for images pair by pair
