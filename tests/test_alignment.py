@@ -46,3 +46,14 @@ def test_long_names():
     """20000 names against those without some in the middle: the whole table would take 10 GB."""
     a = [f"N{k * k % 7919}" for k in range(20000)]
     assert alignment.align(a, a[:9000] + a[9100:]) == [(k, k if k < 9000 else k - 100) for k in range(20000) if not 9000 <= k < 9100]
+
+
+def test_fit_of_many_atoms(spark):
+    """One group of 20000 atoms, of which some in the middle are missing on the other side."""
+    from pyspark.sql import functions as F
+
+    n = 20000
+    p = spark.range(n).select(F.col("id").alias("atom_idx"), F.concat(F.lit("N"), F.pmod(F.col("id") * F.col("id"), F.lit(7919)).cast("string")).alias("name"), F.lit(1.0).alias("mass"), *[F.sin(F.col("id") * k + 1.0).alias(c) for k, c in enumerate("xyz", 1)])
+    moved = p.where("atom_idx < 9000 or atom_idx >= 9100").withColumns({"x": -F.col("y") + 2.0, "y": F.col("x") + 1.0})
+    fit = alignment.fit_matching(p, moved.withColumn("atom_idx", F.when(F.col("atom_idx") < 9000, F.col("atom_idx")).otherwise(F.col("atom_idx") - 100))).first()
+    assert np.allclose(fit["rotation"], [0, -1, 0, 1, 0, 0, 0, 0, 1]) and np.allclose(fit["shift"], [2, 1, 0])
